@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Byte classes: `[^\x20\x09-\x0D]+` is a plain word, `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` a lower-cased one.
@@ -110,7 +111,7 @@ def crc32_text(value) -> int:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     """The batch in slices whose `column` holds at most `most_bytes` each (a longer single row stands alone)."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     first, held = 0, 0
     for i, size in enumerate(lengths.tolist()):
         if i > first and held + size > most_bytes:

@@ -6,7 +6,10 @@ import importlib
 
 #: name of the query: (module, oracle SQL attribute or None); the function has the query's name.
 _WHERE = {
+    "op6_tokens": ("tokens", None),
+    "op7_mixing": ("mixing", "OP7_SQL"),
     "op9_bpe": ("bpe", None),
+    "op10_simhash": ("simhash", None),
 }
 
 
