@@ -73,9 +73,10 @@ _M = 0xFFFFFFFF
 def encoded_words(words: str, path: str) -> Column:
     """array<struct<ids, piece>> for a column of binary words: ids by folded merges, piece decoded from the ids.
 
-    The state of the fold is b, where pieces begin and the last one ends in the hexadecimal word, and c, a number
-    rank * 65536 + place for each inner boundary at which two pieces can merge. The least of c is the pair of
-    lowest rank, leftmost of equals; merging drops its boundary and renews the candidates on both sides.
+    The state of the fold is b, where pieces begin and the last one ends in the hexadecimal word, and c, the
+    candidates: for two adjacent pieces that can merge, rank, start and end in one number. The least candidate is
+    the pair of lowest rank, leftmost of equals; merging drops the boundary inside it and adds the candidates on
+    both sides. A candidate whose pieces have meanwhile merged otherwise is dropped when it turns up.
     """
     buckets, pieces = _literals(path)
 
@@ -83,21 +84,26 @@ def encoded_words(words: str, path: str) -> Column:
         piece = f"substring(h, {start}, {end} - {start})"
         return f"element_at(transform(array({piece}), q -> try_element_at(get(m, hash(q) & {BUCKETS - 1}), q)), 1)"
 
-    merged = f"""
-      element_at(transform(array(cast(array_position(s.b, cast(array_min(s.c) & 65535 as int)) as int)), k -> named_struct(
-        'b', array_remove(s.b, get(s.b, k - 1)),
-        'c', array_append(array_append(
-          filter(s.c, x -> not ((x & 65535) between get(s.b, k - 2) and get(s.b, k))),
-          {rank("get(s.b, k - 3)", "get(s.b, k)")} * 65536L + get(s.b, k - 2)),
-          {rank("get(s.b, k - 2)", "get(s.b, k + 1)")} * 65536L + get(s.b, k)))), 1)"""
+    def candidate(start: str, end: str) -> str:
+        return f"{rank(start, end)} * 1048576L + ({start} * 1024 + {end})"
+
+    step = f"""
+      element_at(transform(array(array_min(s.c)), v -> if(v is null, s,
+        element_at(transform(array(cast(array_position(s.b, cast(shiftright(v, 10) & 1023 as int)) as int)), k ->
+          if(k > 0 and get(s.b, k + 1) = (v & 1023),
+            named_struct(
+              'b', array_remove(s.b, get(s.b, k)),
+              'c', array_append(array_append(array_remove(s.c, v),
+                {candidate("get(s.b, k - 2)", "get(s.b, k + 1)")}), {candidate("get(s.b, k - 1)", "get(s.b, k + 2)")})),
+            named_struct('b', s.b, 'c', array_remove(s.c, v)))), 1))), 1)"""
     one = f"""
       aggregate(
-        if(length(w) < 2, cast(array() as array<int>), sequence(2, length(w))),
+        if(length(w) < 2, cast(array() as array<int>), sequence(1, 3 * length(w))),
         named_struct(
           'b', sequence(1, 2 * length(w) + 1, 2),
           'c', if(length(w) < 2, cast(array() as array<bigint>),
-                  transform(sequence(3, 2 * length(w) - 1, 2), i -> {rank("(i - 2)", "(i + 2)")} * 65536L + i))),
-        (s, j) -> if(array_min(s.c) is null, s, {merged}),
+                  transform(sequence(1, 2 * length(w) - 3, 2), i -> {candidate("i", "(i + 4)")}))),
+        (s, j) -> {step},
         s -> transform(slice(s.b, 1, size(s.b) - 1), (x, i) -> {rank("x", "get(s.b, i + 1)")}))"""
     ids = f"element_at(transform(array(hex(w)), h -> {one}), 1)"
     whole = f"""

@@ -6,6 +6,8 @@ import importlib
 
 #: name of the query: (module, oracle SQL attribute or None); the function has the query's name.
 _WHERE = {
+    "op3_rules": ("rules", None),
+    "op4_classifier": ("classifier", None),
     "op6_tokens": ("tokens", None),
     "op7_mixing": ("mixing", "OP7_SQL"),
     "op9_bpe": ("bpe", None),
