@@ -34,7 +34,8 @@ def _base(docs: DataFrame, carry: bool) -> DataFrame:
         "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))),
         "_tie": F.xxhash64(F.col("text")),
     }
-    rows = docs.withColumns(extra) if carry else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[c.alias(k) for k, c in extra.items()])
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("_row") if carry else F.col("doc_id").cast("bigint").alias("doc_id")
+    rows = docs.select(own, *[c.alias(k) for k, c in extra.items()])
     return rows.withColumn("_range", F.shiftright("_place", RANGE_SHIFT))
 
 
@@ -65,7 +66,8 @@ def _time(finish):
 
 
 def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, passes (how often it is taken), taken; with `carry` beside all columns of `docs`.
+    """doc_id, size, source_size, target, passes (how often it is taken), taken; with `carry`,
+    `_row` with all columns of `docs` instead of doc_id.
 
     Sources go by code point, null last; a null text has size 0; repeated rows are documents of their own; a
     source without words has target 0 and nothing of it is taken; an empty table gives an empty result.
@@ -110,8 +112,7 @@ def mix(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     passes = F.when(F.col("target") > 0, sum((within(k) for k in range(1, MOST_PASSES)), within(0))).otherwise(0)
     out = timed(_base(docs, True) if carry else narrow).withColumn("passes", passes)
-    kept = docs.columns if carry else ["doc_id"]
-    return out.select(*kept, F.col("_size").alias("size"), "source_size", "target", "passes", (F.col("passes") * F.col("_size")).alias("taken"))
+    return out.select("_row" if carry else "doc_id", F.col("_size").alias("size"), "source_size", "target", "passes", (F.col("passes") * F.col("_size")).alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
