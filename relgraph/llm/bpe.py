@@ -31,7 +31,9 @@ BUCKETS = 65_536
 #: Words of more bytes are merged with a heap in Python: a fold over them takes time quadratic in their length.
 LONG_WORD = 192
 #: Text bytes of the documents whose distinct words are encoded together.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 40 << 20
+#: Text bytes that are split at once.
+SPLIT_BYTES = 4 << 20
 @cache
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -73,10 +75,9 @@ _M = 0xFFFFFFFF
 def encoded_words(words: str, path: str) -> Column:
     """array<struct<ids, piece>> for a column of binary words: ids by folded merges, piece decoded from the ids.
 
-    The state of the fold is b, where pieces begin and the last one ends in the hexadecimal word, and c, the
-    candidates: for two adjacent pieces that can merge, rank, start and end in one number. The least candidate is
-    the pair of lowest rank, leftmost of equals; merging drops the boundary inside it and adds the candidates on
-    both sides. A candidate whose pieces have meanwhile merged otherwise is dropped when it turns up.
+    The state of the fold is b, where pieces begin and the last one ends in the hexadecimal word, and c, a number
+    rank * 65536 + place for each inner boundary at which two pieces can merge. The least of c is the pair of
+    lowest rank, leftmost of equals; merging drops its boundary and renews the candidates on both sides.
     """
     buckets, pieces = _literals(path)
 
@@ -84,26 +85,24 @@ def encoded_words(words: str, path: str) -> Column:
         piece = f"substring(h, {start}, {end} - {start})"
         return f"element_at(transform(array({piece}), q -> try_element_at(get(m, hash(q) & {BUCKETS - 1}), q)), 1)"
 
-    def candidate(start: str, end: str) -> str:
-        return f"{rank(start, end)} * 1048576L + ({start} * 1024 + {end})"
-
-    step = f"""
-      element_at(transform(array(array_min(s.c)), v -> if(v is null, s,
-        element_at(transform(array(cast(array_position(s.b, cast(shiftright(v, 10) & 1023 as int)) as int)), k ->
-          if(k > 0 and get(s.b, k + 1) = (v & 1023),
-            named_struct(
-              'b', array_remove(s.b, get(s.b, k)),
-              'c', array_append(array_append(array_remove(s.c, v),
-                {candidate("get(s.b, k - 2)", "get(s.b, k + 1)")}), {candidate("get(s.b, k - 1)", "get(s.b, k + 2)")})),
-            named_struct('b', s.b, 'c', array_remove(s.c, v)))), 1))), 1)"""
+    def candidate(start: str, at: str, end: str) -> str:
+        return f"{rank(start, end)} * 65536L + {at}"
+
+    b = [f"get(s.b, k - {5 - i})" for i in range(5)]  # the boundaries around b[2], which the merge drops
+    merged = f"""
+      element_at(transform(array(cast(array_position(s.b, cast(array_min(s.c) & 65535 as int)) + 2 as int)), k -> named_struct(
+        'b', array_remove(s.b, {b[2]}),
+        'c', array_append(array_append(
+          array_except(s.c, array(array_min(s.c), {candidate(b[0], b[1], b[2])}, {candidate(b[2], b[3], b[4])})),
+          {candidate(b[0], b[1], b[3])}), {candidate(b[1], b[3], b[4])}))), 1)"""
     one = f"""
       aggregate(
-        if(length(w) < 2, cast(array() as array<int>), sequence(1, 3 * length(w))),
+        if(length(w) < 2, cast(array() as array<int>), sequence(2, length(w))),
         named_struct(
           'b', sequence(1, 2 * length(w) + 1, 2),
           'c', if(length(w) < 2, cast(array() as array<bigint>),
-                  transform(sequence(1, 2 * length(w) - 3, 2), i -> {candidate("i", "(i + 4)")}))),
-        (s, j) -> {step},
+                  transform(sequence(3, 2 * length(w) - 1, 2), i -> {candidate("(i - 2)", "i", "(i + 2)")}))),
+        (s, j) -> if(array_min(s.c) is null, s, {merged}),
         s -> transform(slice(s.b, 1, size(s.b) - 1), (x, i) -> {rank("x", "get(s.b, i + 1)")}))"""
     ids = f"element_at(transform(array(hex(w)), h -> {one}), 1)"
     whole = f"""
@@ -155,8 +154,10 @@ _CHUNK = pa.schema([("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32
 def _distinct(batches):
     for batch in batches:
         for part in slices(batch, "text", CHUNK_BYTES):
-            words, counts = split_pretokens(part.column("text"))
-            codes, distinct = coded(words)
+            split = [split_pretokens(x.column("text")) for x in slices(part, "text", SPLIT_BYTES)]
+            counts = np.concatenate([c for _, c in split])
+            codes, distinct = coded(pa.chunked_array([w for w, _ in split]))
+            del split
             yield pa.RecordBatch.from_arrays([
                 pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")),
                 pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.array(counts, pa.int32())),

@@ -86,7 +86,7 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Dictionary form of a word array: the code of each word, and the distinct words."""
     d = words.dictionary_encode()
     if isinstance(d, pa.ChunkedArray):
-        d = d.combine_chunks()
+        d = d.combine_chunks() if d.num_chunks else pa.array([], words.type).dictionary_encode()
     return d.indices.to_numpy(zero_copy_only=False), d.dictionary
 
 
