@@ -1 +1 @@
-"""functions of relgraph."""
+"""Column expressions over tuples."""

@@ -1 +1 @@
-"""sources of relgraph."""
+"""Sources and sinks: the revisioned store, tuple files, validation files and the graph of the star schema."""

@@ -1 +1 @@
-"""streaming of relgraph."""
+"""Following the change log as a stream."""
