@@ -121,7 +121,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 with d as (
-  select doc_id, cast(case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end as bigint) as size,
+  select row_number() over () as row, doc_id, cast(case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end as bigint) as size,
          coalesce('=' || source, '~null') as src,
          cast('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), 'null')), 1, 15) as bigint) as place
   from documents),
@@ -142,16 +142,16 @@ t as (
               else cast(weight as double) * cast((select rest from l) as double) / cast((select rest_weight from l) as double) end as target
   from c),
 e as (
-  select d.doc_id, d.size, t.source_size, t.target, d.src, d.place, p.pass,
+  select d.row, d.doc_id, d.size, t.source_size, t.target, d.src, d.place, p.pass,
          case when t.target > 0 then cast(t.source_size * p.pass + sum(d.size) over (
-           partition by d.src, p.pass order by d.place, coalesce(d.doc_id, -9223372036854775808), d.size
+           partition by d.src, p.pass order by d.place, coalesce(d.doc_id, -9223372036854775808), d.size, d.row
            rows between unbounded preceding and current row) as double) / t.target end as finish
   from d join t on d.src = t.src cross join (select unnest([0, 1, 2]) as pass) p),
 g as (
-  select *, sum(size) over (order by finish nulls last, src, place, coalesce(doc_id, -9223372036854775808), size, pass
+  select *, sum(size) over (order by finish nulls last, src, place, coalesce(doc_id, -9223372036854775808), size, pass, row
                             rows between unbounded preceding and current row) as upto
   from e)
 select doc_id, size, source_size, target,
        cast(sum(case when finish is not null and upto <= (select sum(source_size) from s) then size else 0 end) as bigint) as taken
-from g group by doc_id, size, source_size, target, src, place
+from g group by row, doc_id, size, source_size, target, src, place
 """
