@@ -48,7 +48,7 @@ def _literals(path: str) -> tuple[str, str]:
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         h = piece.hex().upper()
-        buckets[_murmur(h.encode()) % BUCKETS][h] = rank
+        buckets[_murmur(h.encode()) % BUCKETS][h] = rank << 16
         pieces[rank] = h
     return json.dumps(buckets), json.dumps(pieces)
 
@@ -75,9 +75,10 @@ _M = 0xFFFFFFFF
 def encoded_words(words: str, path: str) -> Column:
     """array<struct<ids, piece>> for a column of binary words: ids by folded merges, piece decoded from the ids.
 
-    The state of the fold is b, where pieces begin and the last one ends in the hexadecimal word, and c, a number
-    rank * 65536 + place for each inner boundary at which two pieces can merge. The least of c is the pair of
-    lowest rank, leftmost of equals; merging drops its boundary and renews the candidates on both sides.
+    The state of the fold is b, where pieces begin and the last one ends in the hexadecimal word (a null on either
+    side), and c, a number rank * 65536 + place for each inner boundary at which two pieces can merge. The least of
+    c is the pair of lowest rank, leftmost of equals; merging drops its boundary and renews the candidates on both
+    sides. The map holds ranks times 65536, and n is where the two boundaries on either side stand.
     """
     buckets, pieces = _literals(path)
 
@@ -85,28 +86,25 @@ def encoded_words(words: str, path: str) -> Column:
         piece = f"substring(h, {start}, {end} - {start})"
         return f"element_at(transform(array({piece}), q -> try_element_at(get(m, hash(q) & {BUCKETS - 1}), q)), 1)"
 
-    def candidate(start: str, at: str, end: str) -> str:
-        return f"{rank(start, end)} * 65536L + {at}"
-
-    b = [f"get(s.b, k - {5 - i})" for i in range(5)]  # the boundaries around b[2], which the merge drops
+    n = [f"get(n, {i})" for i in range(5)]
     merged = f"""
-      element_at(transform(array(cast(array_position(s.b, cast(array_min(s.c) & 65535 as int)) + 2 as int)), k -> named_struct(
-        'b', array_remove(s.b, {b[2]}),
+      element_at(transform(array(slice(s.b, cast(array_position(s.b, cast(array_min(s.c) & 65535 as int)) as int) - 2, 5)), n -> named_struct(
+        'b', array_remove(s.b, {n[2]}),
         'c', array_append(array_append(
-          array_except(s.c, array(array_min(s.c), {candidate(b[0], b[1], b[2])}, {candidate(b[2], b[3], b[4])})),
-          {candidate(b[0], b[1], b[3])}), {candidate(b[1], b[3], b[4])}))), 1)"""
+          array_except(s.c, array(array_min(s.c), {rank(n[0], n[2])} + {n[1]}, {rank(n[2], n[4])} + {n[3]})),
+          {rank(n[0], n[3])} + {n[1]}), {rank(n[1], n[4])} + {n[3]}))), 1)"""
     one = f"""
       aggregate(
         if(length(w) < 2, cast(array() as array<int>), sequence(2, length(w))),
         named_struct(
-          'b', sequence(1, 2 * length(w) + 1, 2),
+          'b', concat(array(cast(null as int)), sequence(1, 2 * length(w) + 1, 2), array(cast(null as int))),
           'c', if(length(w) < 2, cast(array() as array<bigint>),
-                  transform(sequence(3, 2 * length(w) - 1, 2), i -> {candidate("(i - 2)", "i", "(i + 2)")}))),
+                  transform(sequence(3, 2 * length(w) - 1, 2), i -> {rank("(i - 2)", "(i + 2)")} + i))),
         (s, j) -> if(array_min(s.c) is null, s, {merged}),
-        s -> transform(slice(s.b, 1, size(s.b) - 1), (x, i) -> {rank("x", "get(s.b, i + 1)")}))"""
+        s -> transform(slice(s.b, 2, size(s.b) - 3), (x, i) -> cast(shiftright({rank("x", "get(s.b, i + 2)")}, 16) as int)))"""
     ids = f"element_at(transform(array(hex(w)), h -> {one}), 1)"
     whole = f"""
-      element_at(transform(array(from_json('{buckets}', 'array<map<string,int>>')), m ->
+      element_at(transform(array(from_json('{buckets}', 'array<map<string,bigint>>')), m ->
         element_at(transform(array(from_json('{pieces}', 'array<string>')), d ->
           transform({words}, w -> if(length(w) > {LONG_WORD}, null,
             element_at(transform(array({ids}), t ->
