@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import coded, ragged, slices, split_words, sums_by_row, table, text_buffers
 
-CHUNK_BYTES = 12 << 20
-#: Words of which a worker remembers the tokens.
-REMEMBERED = 200_000
+CHUNK_BYTES = 4 << 20
+#: Words of which a worker remembers the tokens, in each of two generations.
+REMEMBERED = 100_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Tokens from which the bands hold.
 LEAST_TOKENS = 50
@@ -58,20 +58,21 @@ class Fertility:
         self.bytewise = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(ranks_path), special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.known: dict[bytes, tuple[bytes, int, int]] = {}
+        self.new: dict[bytes, tuple[bytes, int, int]] = {}
+        self.old: dict[bytes, tuple[bytes, int, int]] = {}
 
     def words(self, words: list[bytes]) -> list[tuple[bytes, int, int]]:
         """For each word: ids of the byte-level vocabulary (as bytes), pieces, and byte pieces among them."""
-        new = [w for w in words if w not in self.known]
-        pieces = self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
-        fresh = {}
-        for w, p in zip(new, pieces, strict=True):
-            fresh[w] = (np.array(self.bytewise.encode_ordinary(" " + w.decode("utf-8", "replace")), np.uint32).tobytes(), len(p), int(self.is_byte[p].sum()) if p else 0)
-        out = [self.known[w] if w in self.known else fresh[w] for w in words]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-        if len(fresh) <= REMEMBERED:
-            self.known |= fresh
+        out = [self.new.get(w) or self.old.get(w) for w in words]
+        at = [i for i, x in enumerate(out) if x is None]
+        pieces = self.pieces.encode([words[i].decode("utf-8", "replace") for i in at], num_threads=1)
+        for i, p in zip(at, pieces, strict=True):
+            ids = np.array(self.bytewise.encode_ordinary(" " + words[i].decode("utf-8", "replace")), np.uint32).tobytes()
+            out[i] = (ids, len(p), int(self.is_byte[p].sum()) if p else 0)
+        for w, x in zip(words, out, strict=True):
+            if len(self.new) >= REMEMBERED:
+                self.old, self.new = self.new, {}
+            self.new[w] = x
         return out
 
 
