@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding (operator 9).
 
 Words are split by the public pattern, vectorised over the bytes of many documents at once (pretokens.py).
-Each chunk of documents is reduced to its distinct words, and Spark higher-order functions fold the ranked merges over the bytes of each
+All words of the corpus are counted, and the most frequent ones, KNOWN at most, are encoded once and sent to
+all tasks. Each chunk of documents is reduced to its distinct words that aren't among them, and Spark higher-order functions fold the ranked merges over the bytes of each
 distinct word (as hexadecimal pieces, two digits a byte), looking pieces up in a literal rank map;
 decoding concatenates the binary pieces of the ids. A second Arrow step puts documents together again
-from the codes of their words, so occurrences are never shuffled and nothing grows with the corpus.
+from the codes of their words. Occurrences are never shuffled, and what is sent doesn't grow with the corpus.
 
 The rank map is a literal array of `BUCKETS` small maps, picked by the hash of the piece, since Spark
 searches one map from its start to its end.
@@ -24,14 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import coded, slices, table
+from .common import checkpointed, coded, slices, table
 from .pretokens import split_pretokens
 
 BUCKETS = 65_536
 #: Words of more bytes are merged with a heap in Python: a fold over them takes time quadratic in their length.
 LONG_WORD = 192
 #: Text bytes of the documents whose distinct words are encoded together.
-CHUNK_BYTES = 40 << 20
+CHUNK_BYTES = 12 << 20
+#: Most words that are encoded once for all tasks, each of LONG_WORD bytes at most, and the least count of one.
+KNOWN, LEAST_COUNT = 200_000, 8
 #: Text bytes that are split at once.
 SPLIT_BYTES = 4 << 20
 @cache
@@ -146,31 +149,74 @@ def _list_parts(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.diff(offsets), column.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
 
 
-_CHUNK = pa.schema([("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
+def _distinct_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words per text, the code of each word, and the distinct words, for a batch with a column text."""
+    split = [split_pretokens(x.column("text")) for x in slices(part, "text", SPLIT_BYTES)]
+    return np.concatenate([c for _, c in split]), *coded(pa.chunked_array([w for w, _ in split]))
 
 
-def _distinct(batches):
+def _counted(batches):
     for batch in batches:
         for part in slices(batch, "text", CHUNK_BYTES):
-            split = [split_pretokens(x.column("text")) for x in slices(part, "text", SPLIT_BYTES)]
-            counts = np.concatenate([c for _, c in split])
-            codes, distinct = coded(pa.chunked_array([w for w, _ in split]))
-            del split
-            yield pa.RecordBatch.from_arrays([
-                pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")),
-                pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.array(counts, pa.int32())),
-                pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes, pa.int32())),
-                pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.binary())),
-            ], schema=_CHUNK)
+            _, codes, distinct = _distinct_words(part)
+            yield pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], names=["word", "n"])
+
+
+def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
+    """The most frequent words of all texts, their ids in text, what the ids decode to, and how many they are."""
+    counts = texts.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    often = checkpointed(counts.where((F.col("n") >= LEAST_COUNT) & (F.length("word") <= LONG_WORD)).withColumn("step", F.floor(8 * F.log2("n")).cast("int")))
+    least, total = 1 << 30, 0
+    for r in often.groupBy("step").count().orderBy(F.desc("step")).collect():  # 8 steps for each doubling of the count
+        total += r["count"]
+        if total > KNOWN:
+            break
+        least = r["step"]
+    grouped = often.where(F.col("step") >= least).groupBy(F.pmod(F.hash("word"), F.lit(64)).alias("part")).agg(F.collect_list("word").alias("words"))
+    words, numbers, decoded, sizes = [], [], [], []
+    for r in grouped.select("words", encoded_words("words", path).alias("encoded")).collect():
+        words += [bytes(w) for w in r["words"]]
+        for e in r["encoded"]:
+            numbers.append(" ".join(map(str, e["ids"])))
+            decoded.append(bytes(e["piece"]))
+            sizes.append(len(e["ids"]))
+    return pa.array(words, pa.large_binary()), pa.array(numbers, pa.string()), pa.array(decoded, pa.binary()), np.array(sizes, np.int64)
+
+
+_CHUNK = pa.schema([("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
+
+
+def _distinct(known):
+    """Chunks of documents: codes of their words, first those of the known ones, and the distinct others."""
+
+    def run(batches):
+        words = known.value
+        for batch in batches:
+            for part in slices(batch, "text", CHUNK_BYTES):
+                counts, codes, distinct = _distinct_words(part)
+                place = pc.index_in(distinct, value_set=words)
+                new = place.is_null().to_numpy(zero_copy_only=False)
+                number = np.where(new, len(words) - 1 + np.cumsum(new), place.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32)
+                others = distinct.filter(pa.array(new))
+                yield pa.RecordBatch.from_arrays([
+                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")),
+                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.array(counts, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(number[codes], pa.int32())),
+                    pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), others.cast(pa.binary())),
+                ], schema=_CHUNK)
+
+    return run
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def _assembled(path: str):
+def _assembled(path: str, known):
     def run(batches):
         ranks = ranks_of(path)
         pieces = {v: k for k, v in ranks.items()}
+        known_numbers, known_decoded, known_sizes = known.value
+        known_numbers, known_decoded = known_numbers.to_pylist(), known_decoded.to_pylist()
         for batch in batches:
             for row in range(batch.num_rows):
                 at = lambda name: batch.column(name).slice(row, 1)  # noqa: B023, E731
@@ -178,18 +224,17 @@ def _assembled(path: str):
                 counts = at("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 codes = at("codes").flatten().to_numpy(zero_copy_only=False)
                 encoded = at("encoded").flatten()
-                ids = encoded.field("ids")
-                sizes, flat = _list_parts(ids)
+                sizes, flat = _list_parts(encoded.field("ids"))
                 numbers = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat.cast(pa.string())), " ").to_pylist()
                 decoded = encoded.field("piece").to_pylist()
                 missing = np.flatnonzero(~encoded.is_valid().to_numpy(zero_copy_only=False))
                 if len(missing):
-                    words = at("words").flatten()
-                    sizes = sizes.copy()
+                    words, sizes = at("words").flatten(), sizes.copy()
                     for i in missing.tolist():
                         own = merge_long(words[i].as_py(), ranks)
                         sizes[i], numbers[i], decoded[i] = len(own), " ".join(map(str, own)), b"".join(pieces[x] for x in own)
-                numbers, decoded = np.array([*numbers, None], object), np.array([*decoded, None], object)
+                sizes = np.concatenate([known_sizes, sizes])
+                numbers, decoded = np.array([*known_numbers, *numbers, None], object), np.array([*known_decoded, *decoded, None], object)
                 out, start = [], 0
                 for n in counts.tolist():
                     own = codes[start : start + n]
@@ -208,9 +253,11 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     results; columns other than doc_id and text are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = texts.mapInArrow(_distinct, "keys array<bigint>, counts array<int>, codes array<int>, words array<binary>")
-    coded = chunks.select("keys", "counts", "codes", "words", encoded_words("words", path).alias("encoded"))
-    return coded.mapInArrow(_assembled(path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    words, *answers = frequent_words(texts, path)
+    send = docs.sparkSession.sparkContext.broadcast
+    chunks = texts.mapInArrow(_distinct(send(words)), "keys array<bigint>, counts array<int>, codes array<int>, words array<binary>")
+    encoded = chunks.select("keys", "counts", "codes", "words", encoded_words("words", path).alias("encoded"))
+    return encoded.mapInArrow(_assembled(path, send(answers)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
