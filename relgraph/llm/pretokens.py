@@ -51,32 +51,15 @@ def _byte_classes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def split_pretokens(texts: pa.Array, special: bytes = b"") -> tuple[pa.Array, np.ndarray]:
-    """The tokens' words of all texts as one flat binary array, and how many each text has.
-
-    `special` is a token whose occurrences stand alone, the text on either side being split by itself.
-    """
+def split_pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as one flat binary array, and how many each text has."""
     data, offsets = text_buffers(texts)
     n = len(data)
     if not n:
         return pa.array([], pa.large_binary()), np.zeros(len(offsets) - 1, np.int64)
-    fixed = [offsets[:-1][offsets[:-1] < n]]
-    if special and special[:1] in (whole := data.tobytes()) and special in whole:
-        at, found = whole.find(special), []
-        while at >= 0:
-            if np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + len(special) - 1, "right"):
-                found += [at, at + len(special)]
-                at = whole.find(special, at + len(special))
-            else:
-                at = whole.find(special, at + 1)
-        fixed.append(np.array([x for x in found if x < n], np.int64))
-        inner = np.array(found, np.int64).reshape(-1, 2)
-    else:
-        inner = np.zeros((0, 2), np.int64)
     kind = _byte_classes(data)
     hard = np.zeros(n + 1, bool)
-    hard[np.concatenate(fixed).astype(np.int64)] = True
-    hard[n] = True
+    hard[offsets] = True
     start = np.empty(n + 1, bool)
     start[0] = start[n] = True
     np.not_equal(kind[1:], kind[:-1], out=start[1:n])
@@ -106,8 +89,6 @@ def split_pretokens(texts: pa.Array, special: bytes = b"") -> tuple[pa.Array, np
         start[mark[short | long] + 1] = False
         start[mark[short] + 2] = True
         start[mark[long] + 3] = True
-    for a, b in inner.tolist():
-        start[a + 1 : b] = False
     at = np.flatnonzero(start)
     words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     return words, np.diff(np.searchsorted(at, offsets))
