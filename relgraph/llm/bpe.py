@@ -162,6 +162,21 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], names=["word", "n"])
 
 
+def _joined(encoded: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many ids each encoded word has, and the ids in text, joined by a space."""
+    sizes, flat = _list_parts(encoded.field("ids"))
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return sizes, pc.binary_join(pa.ListArray.from_arrays(ends, flat.cast(pa.string())), " ")
+
+
+def _flat(batches):
+    """A row for each word of rows of words and their encoded forms."""
+    for batch in batches:
+        encoded = batch.column("encoded").flatten()
+        sizes, numbers = _joined(encoded)
+        yield pa.RecordBatch.from_arrays([batch.column("words").flatten(), numbers, encoded.field("piece"), pa.array(sizes, pa.int32())], names=["word", "numbers", "piece", "size"])
+
+
 def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
     """The most frequent words of all texts, their ids in text, what the ids decode to, and how many they are."""
     counts = texts.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -173,14 +188,10 @@ def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.
             break
         least = r["step"]
     grouped = often.where(F.col("step") >= least).groupBy(F.pmod(F.hash("word"), F.lit(64)).alias("part")).agg(F.collect_list("word").alias("words"))
-    words, numbers, decoded, sizes = [], [], [], []
-    for r in grouped.select("words", encoded_words("words", path).alias("encoded")).collect():
-        words += [bytes(w) for w in r["words"]]
-        for e in r["encoded"]:
-            numbers.append(" ".join(map(str, e["ids"])))
-            decoded.append(bytes(e["piece"]))
-            sizes.append(len(e["ids"]))
-    return pa.array(words, pa.large_binary()), pa.array(numbers, pa.string()), pa.array(decoded, pa.binary()), np.array(sizes, np.int64)
+    encoded = grouped.select("words", encoded_words("words", path).alias("encoded"))
+    found = encoded.mapInArrow(_flat, "word binary, numbers string, piece binary, size int").toArrow()
+    column = lambda name: found.column(name).combine_chunks()
+    return column("word").cast(pa.large_binary()), column("numbers"), column("piece"), column("size").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 _CHUNK = pa.schema([("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
@@ -224,8 +235,8 @@ def _assembled(path: str, known):
                 counts = at("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 codes = at("codes").flatten().to_numpy(zero_copy_only=False)
                 encoded = at("encoded").flatten()
-                sizes, flat = _list_parts(encoded.field("ids"))
-                numbers = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat.cast(pa.string())), " ").to_pylist()
+                sizes, numbers = _joined(encoded)
+                numbers = numbers.to_pylist()
                 decoded = encoded.field("piece").to_pylist()
                 missing = np.flatnonzero(~encoded.is_valid().to_numpy(zero_copy_only=False))
                 if len(missing):
