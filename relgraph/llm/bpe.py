@@ -87,7 +87,7 @@ def encoded_words(words: str, path: str) -> Column:
 
     def rank(start: str, end: str) -> str:
         piece = f"substring(h, {start}, {end} - {start})"
-        return f"element_at(transform(array({piece}), q -> try_element_at(get(m, hash(q) & {BUCKETS - 1}), q)), 1)"
+        return f"try_element_at(get(m, hash({piece}) & {BUCKETS - 1}), {piece})"
 
     n = [f"get(n, {i})" for i in range(5)]
     merged = f"""
