@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, coded, slices, table
+from .common import checkpointed, coded, slices, table, tidy
 from .pretokens import split_pretokens
 
 BUCKETS = 65_536
@@ -37,6 +37,8 @@ CHUNK_BYTES = 12 << 20
 KNOWN, LEAST_COUNT = 200_000, 8
 #: Text bytes that are split at once.
 SPLIT_BYTES = 4 << 20
+
+
 @cache
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -179,7 +181,7 @@ def _flat(batches):
 
 def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
     """The most frequent words of all texts, their ids in text, what the ids decode to, and how many they are."""
-    counts = texts.mapInArrow(_counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tidy(_counted), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     often = checkpointed(counts.where((F.col("n") >= LEAST_COUNT) & (F.length("word") <= LONG_WORD)).withColumn("step", F.floor(8 * F.log2("n")).cast("int")))
     least, total = 1 << 30, 0
     for r in often.groupBy("step").count().orderBy(F.desc("step")).collect():  # 8 steps for each doubling of the count
@@ -189,7 +191,7 @@ def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.
         least = r["step"]
     grouped = often.where(F.col("step") >= least).groupBy(F.pmod(F.hash("word"), F.lit(64)).alias("part")).agg(F.collect_list("word").alias("words"))
     encoded = grouped.select("words", encoded_words("words", path).alias("encoded"))
-    found = encoded.mapInArrow(_flat, "word binary, numbers string, piece binary, size int").toArrow()
+    found = encoded.mapInArrow(tidy(_flat), "word binary, numbers string, piece binary, size int").toArrow()
     column = lambda name: found.column(name).combine_chunks()
     return column("word").cast(pa.large_binary()), column("numbers"), column("piece"), column("size").to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -266,9 +268,9 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words, *answers = frequent_words(texts, path)
     send = docs.sparkSession.sparkContext.broadcast
-    chunks = texts.mapInArrow(_distinct(send(words)), "keys array<bigint>, counts array<int>, codes array<int>, words array<binary>")
+    chunks = texts.mapInArrow(tidy(_distinct(send(words))), "keys array<bigint>, counts array<int>, codes array<int>, words array<binary>")
     encoded = chunks.select("keys", "counts", "codes", "words", encoded_words("words", path).alias("encoded"))
-    return encoded.mapInArrow(_assembled(path, send(answers)), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(tidy(_assembled(path, send(answers))), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
