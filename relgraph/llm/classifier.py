@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_buffers
+from .common import slices, table, text_buffers, tidy
 
 CHUNK, OVERLAP = 256, 32
 WIDTH, STEP, FILTERS = 8, 2, 24
@@ -120,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         return fit(np.zeros((0, CHUNK), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.float32))
     wanted = dict(zip(sample["doc_id"].tolist(), sample["quality"].tolist(), strict=True))
 
+    @tidy
     def cut(batches):
         for batch in batches:
             batch = batch.filter(pa.array([x in wanted for x in batch.column("doc_id").to_pylist()]))
@@ -141,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score for every row; null and empty texts are scored as an empty chunk."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -162,6 +164,7 @@ def keep_predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier predicts to be good, with all their columns."""
     model = train(docs, labels)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):

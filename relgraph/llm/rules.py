@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import coded, ragged, slices, split_words, sums_by_row, table, text_buffers
+from .common import coded, ragged, slices, split_words, sums_by_row, table, text_buffers, tidy
 
 CHUNK_BYTES = 4 << 20
 #: Words of which a worker remembers the tokens, in each of two generations.
@@ -167,6 +167,7 @@ def quality_rules(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFra
     ignored; an empty table gives an empty result.
     """
 
+    @tidy
     def run(batches):
         model = fertility(ranks_path, pieces_path)
         for batch in batches:
@@ -180,6 +181,7 @@ def keep_good(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
     names = docs.columns
 
+    @tidy
     def run(batches):
         model = fertility(ranks_path, pieces_path)
         for batch in batches:

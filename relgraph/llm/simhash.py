@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, split_words, table
+from .common import checkpointed, slices, split_words, table, tidy
 from .components import connected_components
 
 BITS, MOST_DIFFERING = 64, 3
@@ -40,6 +40,7 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+@tidy
 def _fingerprints(batches):
     """doc_id and the fingerprint, as a signed number, of the 3-word shingles of each text."""
     digest = xxhash.xxh64_intdigest
@@ -64,6 +65,7 @@ def _bits(fp: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+@tidy
 def _gram(batches):
     """For each bit of this task's fingerprints: how many have it, together with each bit."""
     total = np.zeros((BITS, BITS))
@@ -159,6 +161,7 @@ def forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+@tidy
 def _links(batches):
     """Links among the fingerprints of each group of rows; the rows come sorted by group."""
     group, held = None, []
