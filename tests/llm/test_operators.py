@@ -140,6 +140,18 @@ def test_rules(docs, rows, empty):
     assert rules.quality_rules(empty, *rules._paths()).count() == 0
 
 
+def test_fertility_bands_reject_what_the_base_rule_passes(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice(["th", "er", "on", "an", "ing", "é", "ou"]) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    clean = [rng.choice(words) for _ in range(120)]
+    data = [(1, " ".join(clean)), (2, " ".join(w + rng.choice(["%%%", "$$$", "###", "&&&", "***"]) for w in clean)), (3, " ".join(rng.choice("abcdefgh") for _ in range(120)))]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in rules.quality_rules(frame, *rules._paths()).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert {i: r["kept"] for i, r in found.items()} == {1: True, 2: False, 3: False}
+    assert [r["doc_id"] for r in rules.keep_good(frame, *rules._paths()).collect()] == [1]
+
+
 def test_classifier(spark, docs, empty):
     rng = random.Random(3)
     good = [" ".join(rng.choice(["the", "and", "of", "thing", "other"]) for _ in range(80)) + "." for _ in range(150)]
