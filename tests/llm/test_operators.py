@@ -261,6 +261,19 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def pages_of(spark, pages):
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()}
+
+
+def test_html_heavy_template_and_copies(spark):
+    template = "".join(f"<div>menu block {i}</div>" for i in range(8)) + "<nav>menu</nav><footer>foot</footer>"
+    own = {c: [f"{c} first paragraph of this page alone", f"{c} second paragraph, which is its own"] for c in "abc"}
+    page = {c: template + "".join(f"<p>{x}</p>" for x in own[c]) for c in own}
+    found = pages_of(spark, [(1, "http://h/x/1", page["a"]), (2, "http://h/x/2", page["b"]), (3, "http://k/x/11", page["a"]), (4, "http://k/x/12", page["a"]), (5, "http://k/x/13", page["a"]), (6, "http://k/y", page["c"])])
+    text = {c: "\n\n".join(own[c]) for c in own}
+    assert found == {1: text["a"], 2: text["b"], 3: text["a"], 4: text["a"], 5: text["a"], 6: text["c"]}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14))
 def test_common_lines_are_a_longest_common_subsequence(a, b):
