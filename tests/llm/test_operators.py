@@ -274,6 +274,15 @@ def test_html_heavy_template_and_copies(spark):
     assert found == {1: text["a"], 2: text["b"], 3: text["a"], 4: text["a"], 5: text["a"], 6: text["c"]}
 
 
+def test_html_boilerplate_inside_articles(spark):
+    notice = '<div class="x1">a notice that is on every page of the host</div>'
+    copied = "<p>a paragraph that is copied to another page</p>"
+    body = {i: [f"{x} is what this page alone tells its readers", f"{x} again, in other words, for the end"] for i, x in enumerate(["apple", "pear", "plum", "fig"])}
+    data = [(i, f"http://h/{i}", f"<article>{notice}<p>{a}</p>{copied if i < 2 else ''}<p>{b}</p></article>") for i, (a, b) in body.items()]
+    found = pages_of(spark, data)
+    assert found == {i: "\n\n".join([a, *(["a paragraph that is copied to another page"] if i < 2 else []), b]) for i, (a, b) in body.items()}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14))
 def test_common_lines_are_a_longest_common_subsequence(a, b):
