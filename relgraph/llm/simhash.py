@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, split_words, table, tidy
@@ -42,7 +42,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 @tidy
 def _fingerprints(batches):
-    """doc_id and the fingerprint, as a signed number, of the 3-word shingles of each text."""
+    """doc_id, the fingerprint, as a signed number, of the 3-word shingles of each text, and text_hash."""
     digest = xxhash.xxh64_intdigest
     for batch in batches:
         for part in slices(batch, "text", CHUNK_BYTES):
@@ -58,7 +58,7 @@ def _fingerprints(batches):
                     b = (start[first + min(n, 3) : first + n + 1] - 1).tolist()
                     out[row] = fingerprint(np.fromiter((digest(joined[x:y], 42) for x, y in zip(a, b, strict=True)), np.uint64, len(a)))
                 first += n
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out.view(np.int64)), part.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -208,27 +208,42 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return rows.repartition(F.col("grp")).sortWithinPartitions("grp").mapInArrow(_links, "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed), component_id (the smallest doc_id reachable) and root (the component's least fp), a row for each row of `docs`.
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
-    Null and empty texts have fingerprint 0 and are linked like any other; repeated rows stay; a null doc_id is
-    never the smallest of a component unless all are null; other columns are ignored.
-    """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = checkpointed(texts.mapInArrow(_fingerprints, "doc_id bigint, fp bigint"))
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """The rows of simhash_groups, with the hash of each row's text."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_hash().alias("text_hash"))
+    fps = checkpointed(texts.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, text_hash bigint"))
     distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = connected_components(near_links(distinct))
     own = checkpointed(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
     least = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = own.join(least, "root").select("fp", "root", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
+
+
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed), component_id (the smallest doc_id reachable) and root (the component's least fp), a row for each row of `docs`.
+
+    Null and empty texts have fingerprint 0 and are linked like any other; repeated rows stay; a null doc_id is
+    never the smallest of a component unless all are null; other columns are ignored.
+    """
+    return _groups(docs).drop("text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the first of their near-duplicate group (smallest doc_id; of repeated rows, one)."""
-    groups = simhash_groups(docs)
-    first = groups.where("doc_id <=> component_id").groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that are the first of their near-duplicate group (smallest doc_id; of repeated rows, one).
+
+    Each group keeps one row, also if its doc_id is null or stands in other groups, too. Of different texts of a group
+    that share its smallest doc_id, the one of least hash is kept.
+    """
+    firsts = _groups(docs).where("doc_id <=> component_id")
+    first = firsts.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("root", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    names = [docs[c] for c in docs.columns]
+    met = docs.join(first, docs["doc_id"].cast("bigint").eqNullSafe(first["first_id"]) & (_text_hash() == first["first_hash"]))
+    return met.select(*names, F.col("root").alias("_root")).dropDuplicates(["_root"]).drop("_root")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

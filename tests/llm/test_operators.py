@@ -353,6 +353,14 @@ def test_simhash(docs, rows, empty):
     assert simhash.simhash_groups(empty).count() == 0
 
 
+def test_keep_one_keeps_one_of_each_group(spark):
+    text = ["alpha beta gamma delta", "one two three four five", "red green blue white black", "north south east west", "salt pepper oil bread"]
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (9, text[3]), (5, text[4]), (7, text[4]), (None, text[4])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({fingerprint(x) for x in text}) == len({r["root"] for r in simhash.simhash_groups(frame).collect()}) == 5
+    same([tuple(r) for r in simhash.keep_one(frame).collect()], [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (5, text[4])])
+
+
 def test_simhash_hot_keys_and_plans(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = random.Random(4)
