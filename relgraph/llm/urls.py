@@ -1,12 +1,14 @@
 """URL filters (operator 2): a path-template tree per host, judged by smoothed labelled purity.
 
 Urls that a rule decides are the labels. Segments are first generalised by their form (numbers, hexadecimal
-strings, long mixtures); a literal that is one of many rare ones under its parent becomes a wildcard; and
-literals under one parent whose labels don't differ by more than chance are merged into one branch. A leaf's
-share of blocked urls is smoothed towards its parent's, the parent's towards the host's, and the host's
-towards that of all urls; a template whose smoothed share is over REJECT is rejected.
-
-All of it is counting by (host, prefix): partial sums move, never the pages of a host.
+strings, long mixtures). The tree then grows from the host down, a level a round, for as long as a template still
+holds two different leaves: literals that are rare under their parent and hardly ever come twice become a
+wildcard, and branches of one parent whose smoothed shares of blocked urls are alike (within one step of a scale
+on which the error of a share is the same everywhere) are merged into one branch. A node's share is smoothed
+towards its parent's, the host's towards that of all urls; a template whose share is over REJECT is rejected.
+
+All statistics are shares of different urls, so that repeated rows change nothing, and all of it is counting by
+(host, template): partial sums move, never the pages of a host.
 """
 
 from __future__ import annotations
@@ -18,14 +20,12 @@ from .common import checkpointed, table
 
 #: (host suffix, path prefix, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Path segments that make the template; what follows is one wildcard.
-DEPTH = 3
-#: A parent with more literals than this, most of them rare, has a wildcard for them.
-FAN_OUT, RARE = 20, 3
-#: Urls that a smoothing prior counts as, and the share of blocked ones over which a template is rejected.
+#: A literal is rare if it has less than this share of its parent's urls; rare literals are variable if there are so many different ones for each of their urls.
+RARE, VARIABLE = 0.05, 0.5
+#: Labelled urls that a smoothing prior counts as, and the share of blocked ones over which a template is rejected.
 PRIOR, REJECT = 8.0, 0.5
-#: Difference in share of blocked urls, in standard errors, under which branches are alike.
-ALIKE = 1.5
+#: Steps of the scale, the arcsine of the root of a share, within which branches are alike.
+STEPS = 8
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -51,62 +51,71 @@ def _form(segment: Column) -> Column:
     return F.when(F.length(s) > 40, F.lit("{long}")).otherwise(s)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict by rule, and s1 … sDEPTH, the generalised segments ('' past the end)."""
+def forms(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, by_rule (the rule's verdict) and form, the generalised segments."""
     host, path = host_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    segments = [_form(F.coalesce(F.get(parts, F.lit(k)), F.lit(""))).alias(f"s{k + 1}") for k in range(DEPTH)]
-    return rows.withColumns({"rule": rule, "by_rule": verdict}).select("*", *segments)
+    return rows.withColumns({"rule": rule, "by_rule": verdict, "form": F.transform(F.split(F.regexp_replace("path", "^/", ""), "/"), _form)})
+
+
+def _smoothed(blocked: str, labelled: str, towards: str) -> Column:
+    return (F.col(blocked) + PRIOR * F.col(towards)) / (F.col(labelled) + PRIOR)
 
 
 def tree(rows: DataFrame) -> DataFrame:
-    """host, s1 … sDEPTH and t1 … tDEPTH (the template after wildcards and merges), n, labelled, blocked."""
-    keys = [f"s{k + 1}" for k in range(DEPTH)]
-    count = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    known = F.when(F.col("by_rule").isNotNull(), 1).otherwise(0)
-    leaves = rows.groupBy("host", *keys).agg(F.count("*").alias("n"), F.sum(known).alias("labelled"), F.sum(F.when(F.col("by_rule") == "block", 1).otherwise(0)).alias("blocked"))
-    for k in range(1, DEPTH + 1):
-        prefix, own = ["host", *[f"t{j}" for j in range(1, k)]], f"s{k}"
-        branches = leaves.groupBy(*prefix, own).agg(*count)
-        parents = branches.groupBy(*prefix).agg(F.count("*").alias("fan"), F.sum(F.when(F.col("n") <= RARE, 1).otherwise(0)).alias("rare"), F.sum("labelled").alias("p_labelled"), F.sum("blocked").alias("p_blocked"))
-        literal = ~F.col(own).startswith("{") & (F.col(own) != "")
-        share = F.col("p_blocked") / F.greatest("p_labelled", F.lit(1))
-        error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.01)) / F.greatest("labelled", F.lit(1)))
-        alike = (F.col("labelled") == 0) | (F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - share) <= ALIKE * error)
-        wild = literal & (F.col("fan") > FAN_OUT) & (2 * F.col("rare") > F.col("fan"))
-        merged = literal & (F.col("labelled") > 0) & alike
-        named = branches.join(parents, prefix).select(*prefix, own, F.when(wild, "*").when(merged, "{alike}").otherwise(F.col(own)).alias(f"t{k}"))
-        leaves = leaves.join(named, [*prefix, own])
-    return leaves
-
-
-def shares(leaves: DataFrame) -> DataFrame:
-    """host, s1 … sDEPTH, template, share: each leaf's smoothed share of blocked urls."""
-    levels = [["host", *[f"t{j}" for j in range(1, k + 1)]] for k in range(DEPTH + 1)]
+    """host, form, template and share for every leaf, a different form of a host."""
+    urls = rows.groupBy("host", "path", "form").agg(F.first("by_rule").alias("by_rule"))
+    sums = lambda *names: [F.sum(x).alias(y) for x, y in zip(("n", "labelled", "blocked"), names, strict=False)]
+    leaves = urls.groupBy("host", "form").agg(F.count("*").alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule") == "block").alias("blocked"))
+    leaves = checkpointed(leaves)
     total = leaves.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
-    out, share = leaves, F.lit(((total["b"] or 0) + 0.5) / ((total["l"] or 0) + 1.0))
-    for k, level in enumerate(levels):
-        sums = leaves.groupBy(*level).agg(F.sum("blocked").alias(f"b{k}"), F.sum("labelled").alias(f"l{k}"))
-        out = out.join(sums, level)
-        share = (F.col(f"b{k}") + PRIOR * share) / (F.col(f"l{k}") + PRIOR)
-    names = [f"s{k + 1}" for k in range(DEPTH)]
-    path = F.concat_ws("/", *[F.when(F.col(f"t{k + 1}") != "", F.col(f"t{k + 1}")) for k in range(DEPTH)])
-    return out.select("host", *names, F.concat(F.lit("/"), path).alias("template"), share.alias("share"))
+    prior = ((total["b"] or 0) + 0.5) / ((total["l"] or 0) + 1.0)
+    node = ["host", "template"]
+    hosts = leaves.groupBy("host").agg(F.count("*").alias("leaves"), *sums("all", "all_labelled", "all_blocked")).withColumn("all_share", F.lit(prior))
+    here = leaves.join(hosts.select("host", "leaves", _smoothed("all_blocked", "all_labelled", "all_share").alias("share")), "host").withColumn("template", F.lit(""))
+    done, level = [], 0
+    while True:
+        here = checkpointed(here)
+        ends = (F.col("leaves") == 1) | (F.size("form") <= level)
+        rest = F.array_join(F.slice("form", level + 1, F.greatest(F.size("form") - level, F.lit(0))), "/")
+        done.append(here.where(ends).select("host", "form", F.when(F.size("form") > level, F.concat("template", F.lit("/"), rest)).otherwise(F.col("template")).alias("template"), "share"))
+        here = here.where(~ends).withColumn("own", F.get("form", F.lit(level))).drop("leaves")
+        if here.isEmpty():
+            break
+        branches = here.groupBy(*node, "own").agg(F.first("share").alias("share"), *sums("n", "labelled", "blocked"))
+        parents = branches.groupBy(*node).agg(F.sum("n").alias("all"))
+        literal = ~F.col("own").startswith("{") & (F.col("own") != "")
+        branches = branches.join(parents, node).withColumn("rare", literal & (F.col("n") < RARE * F.col("all")))
+        variety = branches.where("rare").groupBy(*node).agg((F.count("*") / F.sum("n")).alias("variety"))
+        scale = F.floor(F.asin(F.sqrt(_smoothed("blocked", "labelled", "share"))) / (F.asin(F.lit(1.0)) / STEPS))
+        wild = F.col("rare") & (F.coalesce("variety", F.lit(0.0)) >= VARIABLE)
+        named = branches.join(variety, node, "left").withColumn("kind", F.when(wild, "*").when(literal, F.concat(F.lit("="), scale)).otherwise(F.concat(F.lit("{"), "own")))
+        merged = named.groupBy(*node, "kind").agg(F.count("*").alias("fan"), F.min("own").alias("least"), F.first("share").alias("above"), *sums("n", "labelled", "blocked"))
+        called = F.when(F.col("kind") == "*", "*").when(F.col("fan") > 1, F.concat(F.lit("{"), "least", F.lit(" and like it}"))).otherwise(F.col("least"))
+        merged = merged.select(*node, "kind", F.concat("template", F.lit("/"), called).alias("next"), _smoothed("blocked", "labelled", "above").alias("next_share"))
+        step = named.select(*node, "own", "kind").join(merged, [*node, "kind"]).drop("kind")
+        here = here.join(step, [*node, "own"]).select("host", "form", "n", "labelled", "blocked", F.col("next").alias("template"), F.col("next_share").alias("share"))
+        here = checkpointed(here)
+        here = here.join(here.groupBy(*node).agg(F.count("*").alias("leaves")), node)
+        level += 1
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, template and share for every row of `pages`.
 
-    A null url, or one without `://`, has empty host and path; repeated rows are judged alike and count as
-    often as they come; other columns are ignored; an empty table gives an empty result.
+    A null url, or one without `://`, has empty host and path; repeated rows are judged alike and count once;
+    other columns are ignored; an empty table gives an empty result. Rounds go on to the deepest level at which
+    two different leaves still share their template.
     """
-    rows = templates(pages)
-    names = ["host", *[f"s{k + 1}" for k in range(DEPTH)]]
-    judged = shares(checkpointed(tree(rows)))
+    rows = forms(pages)
+    judged = checkpointed(tree(rows))
     verdict = F.coalesce("by_rule", F.when(F.col("share") > REJECT, "block").otherwise("allow"))
-    return rows.join(judged, names).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "share")
+    return rows.join(judged, ["host", "form"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "share")
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,27 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_verdicts_are_of_shares(spark):
+    rng = random.Random(8)
+    data = [(i, f"http://{rng.choice(['a.com', 'b.com', 'c.net'])}/{rng.choice(['de', 'fr', 'xx', 'yy'])}/{rng.choice(['shop', 'news', ''])}/{rng.choice(['p', 'q'])}{rng.randint(0, 60)}/{rng.randint(0, 9)}") for i in range(400)]
+    frame = spark.createDataFrame(data, "page_id long, url string")
+    once = {r["page_id"]: tuple(r) for r in urls.judge(frame).collect()}
+    five = urls.judge(spark.createDataFrame(data * 5, frame.schema)).collect()
+    assert len(once) == 400 and len(five) == 2000 and all(tuple(r) == once[r["page_id"]] for r in five)
+    assert {r[4] for r in once.values()} == {"allow", "block"}
+
+
+def test_url_tree_reaches_the_last_segment(spark):
+    data = [(i, f"http://h.net/a/b/c/d/{'p' if i % 2 else 'q'}/{i}/x{i}") for i in range(80)] + [(100, "http://h.net/a/b/c/p1"), (101, "http://h.net/a/b/c/q2")]
+    found = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(data, "page_id long, url string")).collect()}
+    assert {r["template"] for i, r in found.items() if i < 80} == {"/a/b/c/d/{p and like it}/{n}/*"}
+    assert found[100]["template"] != found[0]["template"]
+    mixed = [(i, f"http://k.com/de/{i}.html") for i in range(40)] + [(50 + i, f"http://k.com/fr/{i}.html") for i in range(40)] + [(200, "http://k.com/xx/1.html")]
+    found = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(mixed, "page_id long, url string")).collect()}
+    assert found[0]["template"] == "/de/{n}.html" and found[50]["template"] == "/fr/{n}.html" and found[0]["share"] > 0.85 > 0.15 > found[50]["share"]
+    assert found[200]["verdict"] == "allow"
+
+
 def test_rules(docs, rows, empty):
     def base(text):
         words = re.findall(WORD, text or "")
