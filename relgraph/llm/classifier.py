@@ -2,8 +2,8 @@
 
 A document is cut into overlapping chunks that cover it to its last byte. Learned filters, WIDTH bytes wide,
 slide over each chunk; each filter's largest response in a chunk is kept, the chunks of a document are
-averaged, and a logistic unit makes one probability of them. The network is fitted on a bounded sample of
-labelled documents (TRAIN_DOCS of them, and TRAIN_CHUNKS evenly spaced chunks of each), chosen by hash.
+averaged, and a logistic unit makes one probability of them. The network is fitted on all chunks of a bounded
+sample of labelled documents, the first TRAIN_DOCS in order of a hash, as far as TRAIN_BYTES of text go.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_buffers, tidy
+from .common import checkpointed, slices, table, text_buffers, tidy
 
 CHUNK, OVERLAP = 256, 32
 WIDTH, STEP, FILTERS = 8, 2, 24
-#: The bounded sample that the network is fitted on.
-TRAIN_DOCS, TRAIN_CHUNKS = 3000, 12
+#: The bounded sample of labelled rows that the network is fitted on, on their whole texts.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 64 << 20
 EPOCHS, RATE, DECAY = 12, 0.01, 1e-5
 THRESHOLD = 0.7
 SLICE_BYTES = 4 << 20
@@ -31,12 +31,11 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = np.maximum(1, -(-(sizes - OVERLAP) // (CHUNK - OVERLAP))).astype(np.int64)
     ends = np.cumsum(n)
     step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-    begin, size = np.repeat(offsets[:-1], n), np.repeat(sizes, n)
-    at = step * (CHUNK - OVERLAP)
-    index = at[:, None] + np.arange(CHUNK)
-    inside = index < size[:, None]
-    padded = np.append(data, np.uint8(0))
-    return np.where(inside, padded[np.minimum(begin[:, None] + index, len(data))], 0).astype(np.uint8), n
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(CHUNK, np.uint8)]), CHUNK)
+    block = windows[np.repeat(offsets[:-1], n) + step * (CHUNK - OVERLAP)]
+    last = ends - 1  # the only chunk of a text that goes past its end
+    block[last] = np.where(np.arange(CHUNK) < (sizes - step[last] * (CHUNK - OVERLAP))[:, None], block[last], 0)
+    return block, n
 
 
 def responses(model: dict, block: np.ndarray) -> np.ndarray:
@@ -53,6 +52,16 @@ def pooled(model: dict, block: np.ndarray, at_once: int = 256) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, FILTERS), np.float32)
 
 
+def peaks(model: dict, block: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Where each filter's largest response in each chunk is, and the response."""
+    at, top = [], []
+    for i in range(0, len(block), at_once):
+        r = responses(model, block[i : i + at_once])
+        at.append(r.argmax(axis=1))
+        top.append(np.take_along_axis(r, at[-1][:, None, :], 1)[:, 0])
+    return np.concatenate(at), np.concatenate(top)
+
+
 def averages(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
     ends = np.cumsum(n)
@@ -84,9 +93,8 @@ def fit(block: np.ndarray, n: np.ndarray, labels: np.ndarray) -> dict:
             docs = order[i : i + 64]
             own = np.concatenate([np.arange(first[d], first[d] + n[d]) for d in docs])
             doc = np.repeat(np.arange(len(docs)), n[docs])
-            r = responses(model, block[own])
-            at = r.argmax(axis=1)
-            top = np.take_along_axis(r, at[:, None, :], 1)[:, 0] + model["bias"]
+            at, top = peaks(model, block[own])
+            top = top + model["bias"]
             live = top > 0
             act = np.where(live, top, 0)
             mean = np.zeros((len(docs), FILTERS), np.float32)
@@ -113,30 +121,21 @@ def fit(block: np.ndarray, n: np.ndarray, labels: np.ndarray) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Fit on labelled rows outside the held-out quarter; labels that are null are no labels."""
+    """Fit on labelled rows outside the held-out quarter.
+
+    Labels that are null are no labels; of several for a doc_id the largest holds, and of several texts the least.
+    """
     chosen = labels.where(f"quality is not null and doc_id is not null and not {HOLD_OUT}").selectExpr("cast(doc_id as bigint) as doc_id", "cast(quality as int) as quality")
-    sample = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).toPandas()
-    if not len(sample):
+    sample = chosen.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").join(F.broadcast(sample), "doc_id")  # at most TRAIN_DOCS rows
+    rows = checkpointed(texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.coalesce(F.min("text"), F.lit("")).alias("text")).withColumn("order", F.xxhash64("doc_id")))
+    sizes = rows.select("order", "doc_id", F.octet_length("text").alias("size")).orderBy("order", "doc_id").toPandas()
+    if not len(sizes):
         return fit(np.zeros((0, CHUNK), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.float32))
-    wanted = dict(zip(sample["doc_id"].tolist(), sample["quality"].tolist(), strict=True))
-
-    @tidy
-    def cut(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array([x in wanted for x in batch.column("doc_id").to_pylist()]))
-            for part in slices(batch, "text", SLICE_BYTES):
-                block, n = chunks(*text_buffers(part.column("text")))
-                begin, out = np.cumsum(n) - n, []
-                for b, k in zip(begin.tolist(), n.tolist(), strict=True):
-                    out.append(block[b + np.unique(np.linspace(0, k - 1, min(k, TRAIN_CHUNKS)).astype(int))].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "chunks"])
-
-    ids = sorted(wanted)
-    texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").where(F.col("doc_id").between(ids[0], ids[-1]))
-    rows = sorted((r["doc_id"], bytes(r["chunks"])) for r in texts.mapInArrow(cut, "doc_id bigint, chunks binary").dropDuplicates(["doc_id"]).collect())
-    n = np.array([len(b) // CHUNK for _, b in rows], np.int64)
-    block = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(-1, CHUNK)
-    return fit(block, n, np.array([wanted[d] for d, _ in rows], np.float32))
+    n = max(1, int((sizes["size"].cumsum() <= TRAIN_BYTES).sum()))
+    end = sizes.iloc[n - 1]
+    found = rows.where((F.col("order") < int(end["order"])) | ((F.col("order") == int(end["order"])) & (F.col("doc_id") <= int(end["doc_id"])))).toArrow().sort_by("doc_id")
+    return fit(*chunks(*text_buffers(found.column("text"))), found.column("quality").to_numpy().astype(np.float32))
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
@@ -161,7 +160,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier predicts to be good, with all their columns."""
+    """The rows of `docs` that the classifier predicts to be good, with all their columns; nulls and repeats as in `classify`."""
     model = train(docs, labels)
 
     @tidy

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -191,6 +192,26 @@ def test_classifier(spark, docs, empty):
     assert classifier.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_scores_against_plain_loops():
+    rng = np.random.default_rng(6)
+    shape = (classifier.WIDTH, 256, classifier.FILTERS)
+    model = {"filters": rng.normal(0, 0.2, shape).astype(np.float32), "bias": rng.normal(0, 0.2, classifier.FILTERS).astype(np.float32), "out": rng.normal(0, 0.5, classifier.FILTERS).astype(np.float32), "prior": np.float32(0.3)}
+    given_texts = ["", "a", "b" * 256, "some longer text, é " * 30, None, "x y" * 400]
+
+    def score(text):
+        data, step, total, n = (text or "").encode(), classifier.CHUNK - classifier.OVERLAP, np.zeros(classifier.FILTERS), 0
+        while n == 0 or n * step + classifier.OVERLAP < len(data):
+            chunk = data[n * step : n * step + classifier.CHUNK].ljust(classifier.CHUNK, b"\0")
+            sums = [sum(model["filters"][w][chunk[at + w]].astype(np.float64) for w in range(classifier.WIDTH)) for at in range(0, classifier.CHUNK - classifier.WIDTH + 1, classifier.STEP)]
+            total += np.maximum(np.max(sums, axis=0) + model["bias"], 0)
+            n += 1
+        return 1 / (1 + np.exp(-(total / n @ model["out"] + model["prior"])))
+
+    from relgraph.llm.common import text_buffers
+
+    assert np.allclose(classifier.scores(model, *text_buffers(pa.array(given_texts))), [score(t) for t in given_texts], atol=1e-5)
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 31, 255, 256, 257, 480, 481, 5000):
         data = np.arange(n) % 251 + 1
@@ -205,15 +226,42 @@ def test_chunks_cover_every_byte():
         assert seen[:n].all()
 
 
+def best_ten(data):
+    """The contract by brute force: every row by itself, components that one of two vectors lacks being zero."""
+    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v, *_ in data if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    dot = lambda a, b: int(a[: len(b)] @ b[: len(a)])
+    return [(q, rank + 1, i, s) for at, (q, x) in enumerate(good) if q % 100 == 0 for rank, (s, i) in enumerate(sorted(((dot(x, v), i) for j, (i, v) in enumerate(good) if j != at), key=lambda x: (-x[0], x[1]))[:10])]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in np.round(rng.normal(0, 0.2, 8), 1 if i % 2 else 3)], 1) for i in range(900)]
-    data += [(1000, None, 1), (1100, [1.0, None] + [0.0] * 6, 1), (1200, [float("nan")] + [0.0] * 7, 1), (1300, [float("inf")] + [0.0] * 7, 1), data[100], (None, [0.5] * 8, 1), (-100, [0.1] * 8, 1)]
+    data += [(1000, None, 1), (1100, [1.0, None] + [0.0] * 6, 1), (1200, [float("nan")] + [0.0] * 7, 1), (1300, [float("inf")] + [0.0] * 7, 1), (None, [0.5] * 8, 1), (-100, [0.1] * 8, 1)]
+    data += [data[100], data[100], (200, [0.3] * 8, 1), (1400, [0.5, -0.5], 1), (1401, [2.0] * 11, 1), (1500, [], 1), (1501, [], 1)]
     table = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)
-    good = {i: np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v, _ in data if i is not None and v and None not in v and np.isfinite(v).all()}
-    expected = [(q, rank + 1, i, s) for q in good if q % 100 == 0 for rank, (s, i) in enumerate(sorted(((int(good[q] @ v), i) for i, v in good.items() if i != q), key=lambda x: (-x[0], x[1]))[:10])]
-    same([tuple(r) for r in topk.top_k(table).collect()], expected)
+    same([tuple(r) for r in topk.top_k(table).collect()], best_ten(data))
+    con = duckdb.connect()
+    con.register("embeddings", table.toArrow())
+    same(con.execute(topk.OP5_SQL).fetchall(), best_ten(data))
     assert topk.top_k(table.limit(0)).count() == 0
+    few = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [2.0])]
+    same([tuple(r) for r in topk.top_k(spark.createDataFrame(few, "vec_id long, embedding array<float>")).collect()], [(0, 1, 2, 2097152), (0, 2, 1, 1048576), (0, 3, 1, 524288)])
+
+
+def test_top_k_in_small_groups_and_blocks(tmp_path, monkeypatch):
+    for name, value in (("QUERY_BLOCK", 3), ("SHARD", 16), ("GROUP", 2), ("LEAF", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(2)
+    vectors = [rng.integers(-9, 9, 4 + i % 3 // 2).tolist() for i in range(400)]
+    lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+    pq.write_table(pa.table({"q": pa.array(range(20), pa.int64()), "v": lists(vectors[:20])}), tmp_path / "queries.parquet")
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100), pa.int64()), lists(vectors[i : i + 100])], names=["vec_id", "v"]) for i in range(0, 400, 100)]
+    found = defaultdict(list)
+    for batch in topk._searcher(str(tmp_path), 5)(iter(batches)):
+        for q, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found[q].append((-s, i))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    assert {q: sorted(x)[:5] for q, x in found.items()} == {q: sorted((-dot(vectors[q], v), i) for i, v in enumerate(vectors))[:5] for q in range(20)}
 
 
 @settings(max_examples=60, deadline=None)
