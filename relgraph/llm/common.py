@@ -26,14 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own, in local mode alone."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if current is None:
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="relgraph-checkpoint-"))
-        current = sc.getCheckpointDir()
-    return current
+    return sc.getCheckpointDir()
+
+
+def open_folder(folder: str):
+    """The file system of a folder, and its path there, for Arrow."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

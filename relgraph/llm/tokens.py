@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import eliasfano
-from .common import checkpointed, coded, ragged, shared_dir, slices, table
+from .common import checkpointed, coded, open_folder, ragged, shared_dir, slices, table
 from .pretokens import split_pretokens
 
 MAGIC = b"RGT1"
@@ -101,12 +101,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _files(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 def _writer(path: str, end_id: int, folder: str):
     def run(batches):
         from pyspark import TaskContext
@@ -118,7 +112,7 @@ def _writer(path: str, end_id: int, folder: str):
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES):
                 if out is None:
-                    store, where = _files(folder)
+                    store, where = open_folder(folder)
                     store.create_dir(where, recursive=True)
                     out = store.open_output_stream(f"{where}/{name}")
                     out.write(MAGIC)
@@ -163,7 +157,7 @@ class Shard:
     """One file: `offsets()` and `doc_ids()` of all documents, `ids(i)` of one by select, or blocks of them."""
 
     def __init__(self, folder: str, name: str):
-        store, where = _files(folder)
+        store, where = open_folder(folder)
         self.file = store.open_input_file(f"{where}/{name}")
         size, foot = self.file.size(), struct.calcsize(_FOOT)
         n, self.missing, self.n_ids, bounds, self.first, width, magic = struct.unpack(_FOOT, self.file.read_at(foot, size - foot))

@@ -1,26 +1,29 @@
 """Exact top-k search by inner product (operator 5): KD-trees per shard.
 
-Queries are asked in blocks of at most QUERY_BLOCK, each of which is sent to all tasks. A task builds a
-KD-tree over every shard of its rows (median splits on the widest dimension, tight bounding boxes) and
-searches it best-first by the largest inner product that a box allows; each query's k-th score so far goes
-on from shard to shard, so that later trees are cut early. A tie with the k-th score is kept for its smaller
-vec_id. The tasks' k best per query are merged by Spark.
+A task builds a KD-tree over every shard of its rows (median splits on the widest dimension, tight bounding
+boxes), GROUP shards at a time, and reads the queries from the shared folder in blocks of QUERY_BLOCK. Each
+tree is searched best-first by the largest inner product that a box allows; each query's k-th score so far goes
+on from tree to tree, so that later ones are cut early. A tie with the k-th score is kept for its smaller
+vec_id. The k best of each group are merged by Spark. Queries never pass through the driver.
+
+A query finds itself, too, so one more than k is searched, and one row that looks like the query's own is taken out.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, open_folder, remove_folder, shared_dir, table
 
 K, EVERY = 10, 100
-#: Queries that are sent to the tasks at once; rows of a shard; rows of a leaf.
-QUERY_BLOCK, SHARD, LEAF = 2048, 8192, 64
+#: Queries that a task holds at once; rows of a shard; shards that a task holds at once; rows of a leaf.
+QUERY_BLOCK, SHARD, GROUP, LEAF = 2048, 8192, 8, 64
 
 
 class KDTree:
@@ -41,8 +44,8 @@ class KDTree:
             if parent >= 0:
                 self.child[parent][side] = node
             width = self.hi[-1] - self.lo[-1]
-            axis = int(width.argmax())
-            if last - first > LEAF and width[axis] > 0:
+            axis = int(width.argmax()) if len(width) else 0
+            if last - first > LEAF and width.any():
                 half = (last - first) // 2
                 part = np.argpartition(own[:, axis], half)
                 self.order[first:last] = self.order[first:last][part]
@@ -50,7 +53,7 @@ class KDTree:
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
         self.vectors, self.ids = vectors[self.order], ids[self.order]
 
-    def search(self, query: np.ndarray, own: int, best: list[tuple[int, int]], k: int) -> None:
+    def search(self, query: np.ndarray, best: list[tuple[int, int]], k: int) -> None:
         """Improve `best`, a heap of (score, -vec_id) of at most k rows, by this shard."""
         plus, minus = np.maximum(query, 0), np.minimum(query, 0)
         bounds = self.hi @ plus + self.lo @ minus
@@ -69,36 +72,77 @@ class KDTree:
             found = self.vectors[first:last] @ query
             at = np.flatnonzero(found >= best[0][0]) if len(best) >= k else np.arange(last - first)
             for score, vec in zip(found[at].tolist(), self.ids[first:last][at].tolist(), strict=True):
-                if vec == own:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, (score, -vec))
                 elif (score, -vec) > best[0]:
                     heapq.heapreplace(best, (score, -vec))
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _by_length(batch: pa.RecordBatch, ids: str):
+    """(ids, matrix) of the vectors of each length in a batch with columns `ids` and v."""
     column = batch.column("v")
-    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, flat.reshape(len(ids), -1)
-
+    ends = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, names = column.values.to_numpy(zero_copy_only=False), batch.column(ids).to_numpy(zero_copy_only=False)
+    sizes = np.diff(ends)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield names[at], flat[ends[at][:, None] + np.arange(size)].astype(np.int64)
+
+
+def _blocks(folder: str):
+    """The queries in the folder, QUERY_BLOCK at a time: their numbers and, by length, which of them and their matrix."""
+    import pyarrow.dataset as ds
+
+    store, where = open_folder(folder)
+    for batch in ds.dataset(where, filesystem=store, format="parquet").to_batches(columns=["q", "v"], batch_size=QUERY_BLOCK):
+        if batch.num_rows:
+            row = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("v")], names=["row", "v"])
+            yield batch.column("q").to_numpy(zero_copy_only=False), list(_by_length(row, "row"))
+
+
+def _fitted(queries: np.ndarray, size: int) -> np.ndarray:
+    """Queries against vectors of another length: what one side lacks counts as zero."""
+    out = np.zeros((len(queries), size), np.int64)
+    n = min(size, queries.shape[1])
+    out[:, :n] = queries[:, :n]
+    return out
+
+
+def _searcher(folder: str, k: int):
+    def searched(trees: list[KDTree]):
+        for numbers, lengths in _blocks(folder):
+            best: list[list] = [[] for _ in numbers]
+            for tree in trees:
+                for rows, queries in lengths:
+                    for i, query in zip(rows.tolist(), _fitted(queries, tree.vectors.shape[1]), strict=True):
+                        tree.search(query, best[i], k)
+            found = [(int(numbers[i]), -v, s) for i, heap in enumerate(best) for s, v in heap]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], schema=_FOUND)
 
-def _searcher(ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches):
-        best: list[list] = [[] for _ in ids]
+        held: dict[int, list] = {}  # by length: ids and matrices that no tree has yet
+        trees: list[KDTree] = []
+
+        def grown(size: int) -> KDTree:
+            ids, vectors = zip(*held.pop(size), strict=True)
+            return KDTree(np.concatenate(vectors), np.concatenate(ids))
+
         for batch in batches:
             for first in range(0, batch.num_rows, SHARD):
-                vec_ids, vectors = _matrix(batch.slice(first, SHARD))
-                tree = KDTree(vectors, vec_ids)
-                for i, q in enumerate(queries):
-                    tree.search(q, int(ids[i]), best[i], k)
-        rows = [(int(ids[i]), -v, s) for i, heap in enumerate(best) for s, v in heap]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], schema=_FOUND)
+                for ids, vectors in _by_length(batch.slice(first, SHARD), "vec_id"):
+                    held.setdefault(vectors.shape[1], []).append((ids, vectors))
+                    if sum(len(x) for x, _ in held[vectors.shape[1]]) >= SHARD:
+                        trees.append(grown(vectors.shape[1]))
+                if len(trees) >= GROUP or sum(len(x) for parts in held.values() for x, _ in parts) >= GROUP * SHARD:
+                    yield from searched(trees + [grown(size) for size in list(held)])
+                    trees = []
+        trees += [grown(size) for size in list(held)]
+        if trees:
+            yield from searched(trees)
 
     return run
 
@@ -107,31 +151,32 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose vec_id is divisible by `every`.
 
     Components become floor(1024 * x). Rows with a null vec_id, vector or component, or one that isn't finite,
-    take no part; so do vectors of another length than most. Rows are told apart by vec_id: one that comes
-    twice is one row (the least of its vectors). An empty table gives an empty result.
+    take no part. Every other row is a candidate of its own, and, if its vec_id is asked for, a query of its own,
+    also where rows share a vec_id or are equal. Of vectors of different lengths, what one lacks counts as zero
+    (an empty vector scores 0). Other columns are ignored. An empty table gives an empty result.
     """
+    spark = embeddings.sparkSession
     x = F.col("embedding")
     good = embeddings.where(x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
     whole = F.transform(x, lambda c: F.floor(F.lit(1024.0) * c.cast("double")).cast("bigint"))
     rows = good.select(F.col("vec_id").cast("bigint").alias("vec_id"), whole.alias("v"))
-    size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.where(F.size("v") == (size["size"] if size else 0)).where(F.size("v") > 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = rows.where(F.col("vec_id") % every == 0)
-    n = asked.count()
-    blocks = max(1, -(-n * 5 // (QUERY_BLOCK * 4)))  # a fifth to spare, since the hash deals unevenly
-    out = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        own.sort(key=lambda r: r["vec_id"])
-        if not own:
-            continue
-        ids, queries = np.array([r["vec_id"] for r in own], np.int64), np.array([r["v"] for r in own], np.int64)
-        found = rows.mapInArrow(_searcher(ids, queries, k), "query_id bigint, vec_id bigint, score bigint")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    same = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+    self_score = F.aggregate(F.transform("v", lambda c: c * c), F.lit(0).cast("bigint"), lambda a, c: a + c)
+    asked = checkpointed(same.select(F.monotonically_increasing_id().alias("q"), F.col("vec_id").alias("query_id"), "copies", "v", self_score.alias("own_score")))
+    folder = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    asked.select("q", "v").write.parquet(folder)
+    found = rows.mapInArrow(_searcher(folder, k + 1), "q bigint, vec_id bigint, score bigint")
+    order = [F.desc("score"), F.col("vec_id")]
+    best = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("place") <= k + 1)
+    best = best.join(asked.drop("v"), "q")
+    own = F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own_score")), F.col("place"))
+    best = best.withColumn("own", F.min(own).over(Window.partitionBy("q")))
+    best = best.withColumn("rank", (F.col("place") - F.when(F.col("place") > F.col("own"), 1).otherwise(0)).cast("int"))
+    best = best.where(F.col("own").isNull() | (F.col("place") != F.col("own"))).where(F.col("rank") <= k)
+    out = best.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    out = checkpointed(out)
+    remove_folder(spark, folder)
+    return out
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +185,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+  select q.row, q.vec_id as query_id, c.vec_id, coalesce(cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint), 0) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.row <> q.row),
+r as (select *, cast(row_number() over (partition by row order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
