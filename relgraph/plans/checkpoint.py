@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df`; the folder is the session's spark.checkpoint.dir, one of our own where that is unset."""
+    """Cut the lineage of `df`; the folder is the session's spark.checkpoint.dir; where that is unset, one of our own, in local mode alone."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="relgraph-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="relgraph-checkpoint-"))
     return df.checkpoint(eager=True)
