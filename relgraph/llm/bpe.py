@@ -3,12 +3,12 @@
 Words are split by the public pattern, vectorised over the bytes of many documents at once (pretokens.py).
 All words of the corpus are counted, and the most frequent ones, KNOWN at most, are encoded once and sent to
 all tasks. Each chunk of documents is reduced to its distinct words that aren't among them, and Spark higher-order functions fold the ranked merges over the bytes of each
-distinct word (as hexadecimal pieces, two digits a byte), looking pieces up in a literal rank map;
-decoding concatenates the binary pieces of the ids. A second Arrow step puts documents together again
+distinct word, looking pieces up in a literal rank map; decoding concatenates the binary pieces of the ids. A second Arrow step puts documents together again
 from the codes of their words. Occurrences are never shuffled, and what is sent doesn't grow with the corpus.
 
-The rank map is a literal array of `BUCKETS` small maps, picked by the hash of the piece, since Spark
-searches one map from its start to its end.
+The rank map is an array of `BUCKETS` small maps, picked by the hash of the piece, since Spark searches one map
+from its start to its end. It is the literal row of a local relation that a scalar subquery hands to the fold: as a
+literal in the expression, its megabytes would stand in the plan text that Spark keeps of every finished query.
 """
 
 from __future__ import annotations
@@ -16,27 +16,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, coded, slices, table, tidy
+from .common import checkpointed, coded, slices, sums_by_row, table, tidy
 from .pretokens import split_pretokens
 
 BUCKETS = 65_536
 #: Words of more bytes are merged with a heap in Python: a fold over them takes time quadratic in their length.
 LONG_WORD = 192
+#: The rank of no piece, as the fold holds ranks: times 256, so that a place in a word can be added.
+NONE = 1 << 30
 #: Text bytes of the documents whose distinct words are encoded together.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Most words that are encoded once for all tasks, each of LONG_WORD bytes at most, and the least count of one.
-KNOWN, LEAST_COUNT = 200_000, 8
-#: Text bytes that are split at once.
-SPLIT_BYTES = 4 << 20
+KNOWN, LEAST_COUNT = 500_000, 4
+#: Text bytes that are split, and words that are put together again, at once.
+SPLIT_BYTES, JOIN_WORDS = 4 << 20, 1 << 20
 
 
 @cache
@@ -45,21 +46,24 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=4)
-def _literals(path: str) -> tuple[str, str]:
-    """JSON of the rank map in buckets, and of the pieces in order of ids; both in hexadecimal."""
+@cache
+def pieces_of(path: str) -> dict[int, bytes]:
+    return {rank: piece for piece, rank in ranks_of(path).items()}
+
+
+def _rank_map(spark: SparkSession, path: str) -> DataFrame:
+    """One row: m, the rank map in BUCKETS small maps (ranks times 256, for the fold), and d, the pieces in order of ids."""
     ranks = ranks_of(path)
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    buckets: list[list[tuple[bytes, int]]] = [[] for _ in range(BUCKETS)]
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        h = piece.hex().upper()
-        buckets[_murmur(h.encode()) % BUCKETS][h] = rank << 16
-        pieces[rank] = h
-    return json.dumps(buckets), json.dumps(pieces)
+        buckets[_murmur(piece) % BUCKETS].append((piece, rank << 8))
+        pieces[rank] = piece
+    return spark.createDataFrame(pa.table({"m": pa.array([buckets], pa.list_(pa.map_(pa.binary(), pa.int32()))), "d": pa.array([pieces], pa.list_(pa.binary()))}))
 
 
 def _murmur(data: bytes, seed: int = 42) -> int:
-    """Spark's hash() of a string, as an unsigned number."""
+    """Spark's hash() of a binary value, as an unsigned number."""
     full = len(data) & ~3
     blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, full, 4)] + [(x - 256 if x > 127 else x) & _M for x in data[full:]]
     h = seed
@@ -77,44 +81,40 @@ def _murmur(data: bytes, seed: int = 42) -> int:
 _M = 0xFFFFFFFF
 
 
-def encoded_words(words: str, path: str) -> Column:
-    """array<struct<ids, piece>> for a column of binary words: ids by folded merges, piece decoded from the ids.
+def encoded_words(rows: DataFrame, path: str) -> DataFrame:
+    """`rows` with encoded, an array<struct<ids, piece>> for its column `words` of binary words: ids by folded merges, piece decoded from the ids.
 
-    The state of the fold is b, where pieces begin and the last one ends in the hexadecimal word (a null on either
-    side), and c, a number rank * 65536 + place for each inner boundary at which two pieces can merge. The least of
-    c is the pair of lowest rank, leftmost of equals; merging drops its boundary and renews the candidates on both
-    sides. The map holds ranks times 65536, and n is where the two boundaries on either side stand.
+    The state of the fold is s, a number rank * 256 + place for each token: where it begins, and the rank of the
+    piece that it would make with the next one (NONE, if no such piece is known), between a null and the end of the
+    word. The least of s is the pair of lowest rank, leftmost of equals; merging drops the second of the two and
+    renews the ranks of the first and of the token before. Ids are null for words of over LONG_WORD bytes.
     """
-    buckets, pieces = _literals(path)
 
-    def rank(start: str, end: str) -> str:
-        piece = f"substring(h, {start}, {end} - {start})"
+    def rank(begin: str, end: str) -> str:
+        piece = f"substring(w, {begin} + 1, {end} - {begin})"
         return f"try_element_at(get(m, hash({piece}) & {BUCKETS - 1}), {piece})"
 
-    n = [f"get(n, {i})" for i in range(5)]
+    place = {i: f"(get(s, k + {i}) & 255)" for i in (-2, -1, 1, 2)}  # of the token before the pair, the pair's first, the next one, and the one after it
+    renewed = [f"coalesce({rank(place[a], place[b])}, {NONE}) + {place[a]}" for a, b in ((-2, 1), (-1, 2))]
     merged = f"""
-      element_at(transform(array(slice(s.b, cast(array_position(s.b, cast(array_min(s.c) & 65535 as int)) as int) - 2, 5)), n -> named_struct(
-        'b', array_remove(s.b, {n[2]}),
-        'c', array_append(array_append(
-          array_except(s.c, array(array_min(s.c), {rank(n[0], n[2])} + {n[1]}, {rank(n[2], n[4])} + {n[3]})),
-          {rank(n[0], n[3])} + {n[1]}), {rank(n[1], n[4])} + {n[3]}))), 1)"""
-    one = f"""
-      aggregate(
-        if(length(w) < 2, cast(array() as array<int>), sequence(2, length(w))),
-        named_struct(
-          'b', concat(array(cast(null as int)), sequence(1, 2 * length(w) + 1, 2), array(cast(null as int))),
-          'c', if(length(w) < 2, cast(array() as array<bigint>),
-                  transform(sequence(3, 2 * length(w) - 1, 2), i -> {rank("(i - 2)", "(i + 2)")} + i))),
-        (s, j) -> if(array_min(s.c) is null, s, {merged}),
-        s -> transform(slice(s.b, 2, size(s.b) - 3), (x, i) -> cast(shiftright({rank("x", "get(s.b, i + 2)")}, 16) as int)))"""
-    ids = f"element_at(transform(array(hex(w)), h -> {one}), 1)"
-    whole = f"""
-      element_at(transform(array(from_json('{buckets}', 'array<map<string,bigint>>')), m ->
-        element_at(transform(array(from_json('{pieces}', 'array<string>')), d ->
-          transform({words}, w -> if(length(w) > {LONG_WORD}, null,
-            element_at(transform(array({ids}), t ->
-              named_struct('ids', t, 'piece', unhex(array_join(transform(t, i -> get(d, i)), '')))), 1)))), 1)), 1)"""
-    return F.expr(whole)
+      element_at(transform(array(cast(array_position(s, array_min(s)) as int)), k ->
+        concat(slice(s, 1, k - 2), array({renewed[0]}, {renewed[1]}), slice(s, k + 2, length(w)))), 1)"""
+    begun = f"""
+      concat(array(cast(null as int)),
+        if(length(w) < 2, cast(array() as array<int>), transform(sequence(0, length(w) - 2), i -> coalesce({rank("i", "(i + 2)")}, {NONE}) + i)),
+        if(length(w) < 1, cast(array() as array<int>), array({NONE} + length(w) - 1)), array({NONE} + length(w)))"""
+    ids = f"""
+      aggregate(if(length(w) < 2, cast(array() as array<int>), sequence(2, length(w))), {begun},
+        (s, j) -> if(array_min(s) >= {NONE}, s, {merged}),
+        s -> transform(slice(s, 2, size(s) - 2), (x, i) -> shiftright({rank("(x & 255)", "(get(s, i + 2) & 255)")}, 8)))"""
+    encoded = f"""
+      element_at(transform(array(own_m), m -> element_at(transform(array(own_d), d ->
+        transform(words, w -> if(length(w) > {LONG_WORD}, null,
+          element_at(transform(array({ids}), t ->
+            named_struct('ids', t, 'piece', aggregate(t, cast('' as binary), (a, i) -> concat(a, get(d, i))))), 1)))), 1)), 1)"""
+    held = "select *, (select m from {ranks}) as own_m, (select d from {ranks}) as own_d from {rows}"
+    names = ", ".join(f"`{c}`" for c in rows.columns)
+    return rows.sparkSession.sql(f"select {names}, {encoded} as encoded from ({held})", ranks=_rank_map(rows.sparkSession, path), rows=rows)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -164,19 +164,19 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], names=["word", "n"])
 
 
-def _joined(encoded: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """How many ids each encoded word has, and the ids in text, joined by a space."""
+def _written(encoded: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many ids each encoded word has, and the ids in text, a space after each."""
     sizes, flat = _list_parts(encoded.field("ids"))
     ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-    return sizes, pc.binary_join(pa.ListArray.from_arrays(ends, flat.cast(pa.string())), " ")
+    return sizes, pc.binary_join_element_wise(pc.binary_join(pa.ListArray.from_arrays(ends, flat.cast(pa.string())), " "), "", " ").cast(pa.large_binary())
 
 
 def _flat(batches):
     """A row for each word of rows of words and their encoded forms."""
     for batch in batches:
         encoded = batch.column("encoded").flatten()
-        sizes, numbers = _joined(encoded)
-        yield pa.RecordBatch.from_arrays([batch.column("words").flatten(), numbers, encoded.field("piece"), pa.array(sizes, pa.int32())], names=["word", "numbers", "piece", "size"])
+        sizes, numbers = _written(encoded)
+        yield pa.RecordBatch.from_arrays([batch.column("words").flatten(), numbers.cast(pa.binary()), encoded.field("piece"), pa.array(sizes, pa.int32())], names=["word", "numbers", "piece", "size"])
 
 
 def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray]:
@@ -190,10 +190,9 @@ def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.
             break
         least = r["step"]
     grouped = often.where(F.col("step") >= least).groupBy(F.pmod(F.hash("word"), F.lit(64)).alias("part")).agg(F.collect_list("word").alias("words"))
-    encoded = grouped.select("words", encoded_words("words", path).alias("encoded"))
-    found = encoded.mapInArrow(tidy(_flat), "word binary, numbers string, piece binary, size int").toArrow()
-    column = lambda name: found.column(name).combine_chunks()
-    return column("word").cast(pa.large_binary()), column("numbers"), column("piece"), column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+    found = encoded_words(grouped, path).mapInArrow(tidy(_flat), "word binary, numbers binary, piece binary, size int").toArrow()
+    column = lambda name: found.column(name).cast(pa.large_binary()).combine_chunks()
+    return column("word"), column("numbers"), column("piece"), found.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 _CHUNK = pa.schema([("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
@@ -224,12 +223,27 @@ def _distinct(known):
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+def _digests(parts: pa.Array, codes: np.ndarray, counts: np.ndarray, drop: int) -> list[str]:
+    """SHA-256 of each document's parts, its last `drop` bytes left out; parts are put together JOIN_WORDS at a time."""
+    ends = np.cumsum(counts)
+    out, own, doc = [], hashlib.sha256(), 0
+    for first in range(0, max(1, len(codes)), JOIN_WORDS):
+        _, at, data = (x := parts.take(pa.array(codes[first : first + JOIN_WORDS]))).buffers()
+        at = np.frombuffer(at, np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+        data, begin = memoryview(data or b""), 0
+        while doc < len(ends) and ends[doc] <= first + len(x):
+            end = int(ends[doc]) - first
+            if counts[doc]:
+                own.update(data[int(at[begin]) : int(at[end]) - drop])
+            out.append(own.hexdigest())
+            own, begin, doc = hashlib.sha256(), end, doc + 1
+        own.update(data[int(at[begin]) : int(at[len(x)])])
+    return out
+
+
 def _assembled(path: str, known):
     def run(batches):
-        ranks = ranks_of(path)
-        pieces = {v: k for k, v in ranks.items()}
         known_numbers, known_decoded, known_sizes = known.value
-        known_numbers, known_decoded = known_numbers.to_pylist(), known_decoded.to_pylist()
         for batch in batches:
             for row in range(batch.num_rows):
                 at = lambda name: batch.column(name).slice(row, 1)  # noqa: B023, E731
@@ -237,23 +251,18 @@ def _assembled(path: str, known):
                 counts = at("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 codes = at("codes").flatten().to_numpy(zero_copy_only=False)
                 encoded = at("encoded").flatten()
-                sizes, numbers = _joined(encoded)
-                numbers = numbers.to_pylist()
-                decoded = encoded.field("piece").to_pylist()
-                missing = np.flatnonzero(~encoded.is_valid().to_numpy(zero_copy_only=False))
-                if len(missing):
-                    words, sizes = at("words").flatten(), sizes.copy()
-                    for i in missing.tolist():
-                        own = merge_long(words[i].as_py(), ranks)
-                        sizes[i], numbers[i], decoded[i] = len(own), " ".join(map(str, own)), b"".join(pieces[x] for x in own)
-                sizes = np.concatenate([known_sizes, sizes])
-                numbers, decoded = np.array([*known_numbers, *numbers, None], object), np.array([*known_decoded, *decoded, None], object)
-                out, start = [], 0
-                for n in counts.tolist():
-                    own = codes[start : start + n]
-                    start += n
-                    out.append((int(sizes[own].sum()), hashlib.sha256(" ".join(numbers[own].tolist()).encode()).hexdigest(), hashlib.sha256(b"".join(decoded[own].tolist())).hexdigest()))
-                tokens, a, b = zip(*out, strict=True)
+                sizes, numbers = _written(encoded)
+                decoded = encoded.field("piece").cast(pa.large_binary())
+                if encoded.null_count:
+                    ranks = ranks_of(path)
+                    pieces = pieces_of(path)
+                    own = [merge_long(w, ranks) for w in at("words").flatten().filter(encoded.is_null()).to_pylist()]
+                    sizes[np.flatnonzero(encoded.is_null().to_numpy(zero_copy_only=False))] = [len(x) for x in own]
+                    numbers = pc.replace_with_mask(numbers, encoded.is_null(), pa.array(["".join(f"{i} " for i in x).encode() for x in own], pa.large_binary()))
+                    decoded = pc.replace_with_mask(decoded, encoded.is_null(), pa.array([b"".join(pieces[i] for i in x) for x in own], pa.large_binary()))
+                tokens = sums_by_row(np.concatenate([known_sizes, sizes])[codes], counts)
+                a = _digests(pa.concat_arrays([known_numbers, numbers]), codes, counts, 1)
+                b = _digests(pa.concat_arrays([known_decoded, decoded]), codes, counts, 0)
                 yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(a), pa.array(b)], schema=_OUT)
 
     return run
@@ -269,8 +278,7 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     words, *answers = frequent_words(texts, path)
     send = docs.sparkSession.sparkContext.broadcast
     chunks = texts.mapInArrow(tidy(_distinct(send(words))), "keys array<bigint>, counts array<int>, codes array<int>, words array<binary>")
-    encoded = chunks.select("keys", "counts", "codes", "words", encoded_words("words", path).alias("encoded"))
-    return encoded.mapInArrow(tidy(_assembled(path, send(answers))), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded_words(chunks, path).mapInArrow(tidy(_assembled(path, send(answers))), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,6 +385,20 @@ def test_bpe(docs, rows, empty):
     assert bpe.bpe_round_trip(empty, path).count() == 0
 
 
+def test_digests_of_words_put_together_in_parts(monkeypatch):
+    rng = random.Random(1)
+    parts = [b"%d " % i for i in range(30)]
+    counts = [0, 5, 0, 17, 1, 40, 0]
+    codes = [rng.randrange(30) for _ in range(sum(counts))]
+    expected, at = [], 0
+    for n in counts:
+        expected.append(hashlib.sha256(b"".join(parts[c] for c in codes[at : at + n])[:-1]).hexdigest())
+        at += n
+    for size in (1, 3, 7, 64):
+        monkeypatch.setattr(bpe, "JOIN_WORDS", size)
+        assert bpe._digests(pa.array(parts, pa.large_binary()), np.array(codes, np.int32), np.array(counts), 1) == expected
+
+
 def fingerprint(text):
     words = re.findall(WORD, lowered(text))
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), seed=42) for i in range(max(1, len(words) - 2))] if words else []
