@@ -195,7 +195,8 @@ def frequent_words(texts: DataFrame, path: str) -> tuple[pa.Array, pa.Array, pa.
     return column("word"), column("numbers"), column("piece"), found.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_CHUNK = pa.schema([("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
+#: Codes go through the JVM as compressed bytes: it would copy them one by one, and hold several chunks' at once.
+_CHUNK = pa.schema([("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.binary()))])
 
 
 def _distinct(known):
@@ -213,7 +214,7 @@ def _distinct(known):
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id")),
                     pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.array(counts, pa.int32())),
-                    pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(number[codes], pa.int32())),
+                    pa.array([pa.compress(number[codes].tobytes(), "zstd", asbytes=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), others.cast(pa.binary())),
                 ], schema=_CHUNK)
 
@@ -249,7 +250,7 @@ def _assembled(path: str, known):
                 at = lambda name: batch.column(name).slice(row, 1)  # noqa: B023, E731
                 keys = at("keys").flatten()
                 counts = at("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                codes = at("codes").flatten().to_numpy(zero_copy_only=False)
+                codes = np.frombuffer(pa.decompress(at("codes")[0].as_buffer(), int(counts.sum()) * 4, "zstd"), np.int32)
                 encoded = at("encoded").flatten()
                 sizes, numbers = _written(encoded)
                 decoded = encoded.field("piece").cast(pa.large_binary())
@@ -277,7 +278,7 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words, *answers = frequent_words(texts, path)
     send = docs.sparkSession.sparkContext.broadcast
-    chunks = texts.mapInArrow(tidy(_distinct(send(words))), "keys array<bigint>, counts array<int>, codes array<int>, words array<binary>")
+    chunks = texts.mapInArrow(tidy(_distinct(send(words))), "keys array<bigint>, counts array<int>, codes binary, words array<binary>")
     return encoded_words(chunks, path).mapInArrow(tidy(_assembled(path, send(answers))), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 

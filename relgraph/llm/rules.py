@@ -8,7 +8,9 @@ depend on the corpus or its size.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import coded, ragged, slices, split_words, sums_by_row, table, text_buffers, tidy
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Words of which a worker remembers the tokens, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Tokens from which the bands hold.
 LEAST_TOKENS = 50
@@ -71,14 +73,15 @@ class Fertility:
         """For each word: ids of the byte-level vocabulary (as bytes), pieces, and byte pieces among them."""
         out = [self.new.get(w) or self.old.get(w) for w in words]
         at = [i for i, x in enumerate(out) if x is None]
-        pieces = self.pieces.encode([words[i].decode("utf-8", "replace") for i in at], num_threads=1)
-        for i, p in zip(at, pieces, strict=True):
-            ids = np.array(self.bytewise.encode_ordinary(" " + words[i].decode("utf-8", "replace")), np.uint32).tobytes()
-            out[i] = (ids, len(p), int(self.is_byte[p].sum()) if p else 0)
-        for w, x in zip(words, out, strict=True):
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
-            self.new[w] = x
+        texts = [words[i].decode("utf-8", "replace") for i in at]
+        pieces = self.pieces.encode(texts, num_threads=1) if texts else []
+        sizes = list(map(len, pieces))
+        fallback = sums_by_row(self.is_byte[np.fromiter(chain.from_iterable(pieces), np.int64, sum(sizes))].astype(np.int64), np.array(sizes, np.int64))
+        for i, text, size, n in zip(at, texts, sizes, fallback.tolist(), strict=True):
+            out[i] = (array("I", self.bytewise.encode_ordinary(" " + text)).tobytes(), size, n)
+        self.new.update(zip(words, out, strict=True))
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
         return out
 
 

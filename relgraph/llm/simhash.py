@@ -29,7 +29,7 @@ BITS, MOST_DIFFERING = 64, 3
 #: Fingerprints of one key that a task holds at a time.
 BLOCK = 4096
 #: Text bytes that are hashed together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def fingerprint(hashes: np.ndarray) -> int:
