@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -352,6 +353,36 @@ def test_html_boilerplate_inside_articles(spark):
     assert found == {i: "\n\n".join([a, *(["a paragraph that is copied to another page"] if i < 2 else []), b]) for i, (a, b) in body.items()}
 
 
+def test_html_does_not_depend_on_partitions(spark, monkeypatch):
+    rng = random.Random(12)
+    menu = "".join(f"<div>menu {i}</div>" for i in range(3))
+    data = []
+    for i in range(90):
+        own = "".join(f"<p>{rng.random()} is the page's own</p>" for _ in range(3))
+        data.append((i if i % 11 else None, f"http://{'hot.org' if i % 3 else f'h{i % 4}.net'}/{rng.choice('abc')}/{i % 17}", data[-1][2] if i % 5 == 0 and data else menu + own))
+    frame = spark.createDataFrame(data, "page_id long, url string, html string")
+    whole = [tuple(r) for r in html.extract(frame.coalesce(1)).collect()]
+    assert sum("menu" in r[2] for r in whole) == 0
+    monkeypatch.setattr(html, "BLOCK", 12)
+    monkeypatch.setattr(html, "EDGE", 8)
+    for n in (1, 40):
+        same([tuple(r) for r in html.extract(frame.repartition(n)).collect()], whole)
+
+
+def test_html_markup_that_is_not_well_formed():
+    text = lambda page: [x for x, named, _ in html.lines_of(page) if not named]
+    assert text('<article><p title="5" tall">one</p><p a=\'x>y\' b="<p>">two<p c=>three</ ><p>a < b</article>') == ["one", "two", "three", "a < b"]
+    assert text("<p>one<!-- <p> --><p>two<a href=\"x") == ["one", "two"]
+    assert text("<article><section id='related-work'><p>kept</p></section><h2 id='comments'>kept too</h2><div class='comment-list'>gone</div><div class='share-buttons'>gone</div><div class='share-price'>12</div></article>") == ["kept", "kept too", "12"]
+    assert text("<div class='x related-links'>gone</div><math><mi>x</mi></math>") == ["x"]
+    begin = time.time()
+    for hostile in ('<a "' * 50_000, "<a b='" * 30_001, "<div>" * 50_000 + "</p><li>" * 50_000, "<blockquote>" * 30_000 + "<p>x" * 30_000, "<!-" * 50_000, "<a =" * 50_000):
+        html.lines_of(hostile)
+    rng = random.Random(1)
+    html.common_lines([rng.choice("ab") for _ in range(6000)], [rng.choice("ab") for _ in range(6003)])
+    assert time.time() - begin < 10
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=14), st.lists(st.sampled_from("abc"), max_size=14))
 def test_common_lines_are_a_longest_common_subsequence(a, b):
