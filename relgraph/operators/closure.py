@@ -119,7 +119,7 @@ def member_of(rels: DataFrame, closure: DataFrame, subjects: DataFrame) -> DataF
     names = ["subject_type", "subject_id", "subject_relation"]
     here = ["k", F.col("resource_type").alias("type"), F.col("resource_id").alias("id"), "relation"]
     direct = rels.join(subjects, names).select(*here)
-    wild = rels.where("subject_id = '*'").join(subjects.where("subject_relation = ''").select("k", "subject_type"), "subject_type").select(*here)
+    wild = rels.where("subject_id = '*' and subject_relation = ''").join(subjects.where("subject_relation = ''").select("k", "subject_type"), "subject_type").select(*here)
     own = subjects.where("subject_relation <> ''").select("k", F.col("subject_type").alias("type"), F.col("subject_id").alias("id"), F.col("subject_relation").alias("relation"))
     first = direct.unionByName(wild).unionByName(own).distinct()
     links = closure.select(F.col("descendant_type").alias("type"), F.col("descendant_id").alias("id"), F.col("descendant_relation").alias("relation"), F.col("ancestor_type").alias("t"), F.col("ancestor_id").alias("i"), F.col("ancestor_relation").alias("r"))

@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MaxDepthExceeded
 from ..model import ObjectRef, PermissionTree, Relationship, SubjectRef
+from ..plans.checkpoint import checkpointed
 from ..plans.compile import Goal, resolve
 from ..schema.build import Arrow, Expr, Nil, Ref, Schema
+from .pairs import PairBound
 from .resolve import SubjectBound, restricted, union_all
 
 #: An id that no object can have stands for every subject that no tuple names.
 ANONYMOUS = ":anyone"
 
 
+def key() -> Column:
+    """A subject in text."""
+    return F.concat("subject_type", F.lit(":"), "subject_id", F.lit("#"), "subject_relation")
+
+
 def seeds_of(requests: DataFrame) -> DataFrame:
     """Distinct subjects of requests as seeds, each with its rendering as key k."""
-    k = F.concat("subject_type", F.lit(":"), "subject_id", F.lit("#"), "subject_relation")
-    return requests.select("subject_type", "subject_id", "subject_relation").distinct().withColumn("k", k)
+    return requests.select("subject_type", "subject_id", "subject_relation").distinct().withColumn("k", key())
 
 
 def check_bulk(schema: Schema, rels: DataFrame, requests: DataFrame, max_depth: int = 50, closure: DataFrame | None = None) -> DataFrame:
     """requests (resource_type, resource_id, permission, subject columns, any others) with has_permission and error.
 
-    All requests are answered by one evaluation per goal over the tuples that they can lead to. An unknown type
-    or permission is an error of its rows alone.
+    All requests for a permission are answered together, as pairs of subject and resource that narrow on the way.
+    An unknown type or permission is an error of its rows alone.
     """
     asked = [(r[0], r[1]) for r in requests.select("resource_type", "permission").distinct().collect()]
     goals = [g for g in asked if schema.has(*g)]
     name = F.concat("resource_type", F.lit("#"), "permission")
     known = name.isin(["#".join(g) for g in goals]) if goals else F.lit(False)
-    good = requests.where(known)
-    tuples = rels
-    if closure is None:
-        tuples = restricted(schema, rels, good.select(F.col("resource_type").alias("type"), F.col("resource_id").alias("id")))
-    bound = SubjectBound(schema, tuples, seeds_of(good), max_depth, closure)
-    found = [bound.goal(g).select("k", F.col("id").alias("resource_id"), F.lit(g[0]).alias("resource_type"), F.lit(g[1]).alias("permission")) for g in goals]
-    k = F.concat("subject_type", F.lit(":"), "subject_id", F.lit("#"), "subject_relation")
-    out = requests.withColumn("k", k)
+    out = requests.withColumn("k", key())
+    found = []
+    if goals:
+        pairs = checkpointed(out.where(known).select("resource_type", "permission", "k", F.col("resource_id").alias("id")).distinct())
+        bound = PairBound(schema, rels, seeds_of(requests.where(known)), max_depth, closure)
+        for g in goals:
+            held = bound.holds(g, pairs.where((F.col("resource_type") == g[0]) & (F.col("permission") == g[1])))
+            found.append(held.select("k", F.col("id").alias("resource_id"), F.lit(g[0]).alias("resource_type"), F.lit(g[1]).alias("permission")))
     keys = ["k", "resource_type", "resource_id", "permission"]
     if found:
         out = out.join(union_all(found).distinct().withColumn("_yes", F.lit(True)), keys, "left")
@@ -58,7 +64,7 @@ def lookup_subjects(schema: Schema, rels: DataFrame, resource: ObjectRef, name:
     spark = rels.sparkSession
     goal = resolve(schema, resource.type, name)
     seed = spark.createDataFrame([(resource.type, resource.id)], "type string, id string")
-    tuples = restricted(schema, rels, seed)
+    tuples = restricted(schema, rels, seed, [goal])
     kind = (F.col("subject_type") == subject_type) & (F.col("subject_relation") == subject_relation) & (F.col("subject_id") != "*")
     named = tuples.where(kind).select("subject_id")
     if subject_relation:
@@ -70,7 +76,9 @@ def lookup_subjects(schema: Schema, rels: DataFrame, resource: ObjectRef, name:
     else:
         named = named.unionByName(spark.createDataFrame([(ANONYMOUS,)], "subject_id string"))
     candidates = named.distinct().select(F.lit(subject_type).alias("subject_type"), "subject_id", F.lit(subject_relation).alias("subject_relation"), F.col("subject_id").alias("k"))
-    held = SubjectBound(schema, tuples, candidates, max_depth, closure).goal(goal).where(F.col("id") == resource.id).select(F.col("k").alias("subject_id"), F.lit(True).alias("holds"))
+    # not a literal: the optimizer fails on what it infers from constant columns of checkpoints
+    pairs = candidates.select("k", F.substr(F.concat("k", F.lit(resource.id)), F.length("k") + 1).alias("id"))
+    held = PairBound(schema, tuples, candidates, max_depth, closure).holds(goal, pairs).select(F.col("k").alias("subject_id"), F.lit(True).alias("holds"))
     return candidates.select("subject_id").join(held, "subject_id", "left").select("subject_id", F.coalesce("holds", F.lit(False)).alias("holds"))
 
 
@@ -86,10 +94,10 @@ def lookup_subjects_answer(found: DataFrame) -> DataFrame:
 
 def expand(schema: Schema, rels: DataFrame, resource: ObjectRef, name: str, max_depth: int = 50) -> PermissionTree:
     """The rewrite tree; relations are leaves with their subjects, arrows are followed, a cycle ends in an empty leaf."""
-    resolve(schema, resource.type, name)
+    goal = resolve(schema, resource.type, name)
     seed = rels.sparkSession.createDataFrame([(resource.type, resource.id)], "type string, id string")
     tuples: dict[tuple[str, str, str], list[SubjectRef]] = {}
-    for row in restricted(schema, rels, seed).orderBy("resource_type", "resource_id", "relation", "subject_type", "subject_id", "subject_relation").collect():
+    for row in restricted(schema, rels, seed, [goal]).orderBy("resource_type", "resource_id", "relation", "subject_type", "subject_id", "subject_relation").collect():
         r = Relationship.of(row)
         tuples.setdefault((r.resource.type, r.resource.id, r.relation), []).append(r.subject)
     path: set[tuple[ObjectRef, str]] = set()

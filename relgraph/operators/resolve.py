@@ -34,14 +34,44 @@ class SubjectBound:
         self.closure = closure
         self.done: dict[Goal, DataFrame] = {}
         self.nothing = seeds.select("k", F.col("subject_id").alias("id")).where(F.lit(False))
-        if closure is not None:
-            reached = closure.selectExpr("ancestor_type", "ancestor_id", "ancestor_relation", "descendant_type as subject_type", "descendant_id as subject_id", "descendant_relation as subject_relation")
-            seat = [F.col(f"ancestor_{c}").alias(f"subject_{c}") for c in ("type", "id", "relation")]
-            own = seeds.join(rels, ["subject_type", "subject_id", "subject_relation"]).where("subject_id <> '*'").select("k", F.col("resource_type").alias("subject_type"), F.col("resource_id").alias("subject_id"), F.col("relation").alias("subject_relation"))
-            wild = seeds.where("subject_relation = ''").select("k", "subject_type").join(rels.where("subject_id = '*'"), "subject_type").select("k", F.col("resource_type").alias("subject_type"), F.col("resource_id").alias("subject_id"), F.col("relation").alias("subject_relation"))
-            first = own.unionByName(wild).unionByName(seeds.where("subject_relation <> ''").select("k", "subject_type", "subject_id", "subject_relation")).distinct()
-            above = first.join(reached, ["subject_type", "subject_id", "subject_relation"]).select("k", *seat)
-            self.member_of = checkpointed(first.unionByName(above).distinct())
+        self._held: DataFrame | None = None
+
+    # with a closure
+
+    def closed(self, goal: Goal) -> bool:
+        """Whether the closure answers a relation: there is one, and no permission stands among the usersets nested in it."""
+        if self.closure is None or self.schema.relation(*goal) is None:
+            return False
+        seen, todo = set(), [goal]
+        while todo:
+            if (g := todo.pop()) in seen:
+                continue
+            seen.add(g)
+            if (r := self.schema.relation(*g)) is None:
+                return False
+            todo += [(s.type, s.relation) for s in r.subjects if s.relation]
+        return True
+
+    def _above(self, first: DataFrame, *keys: str) -> DataFrame:
+        """Usersets (type, id, relation) and all that they are nested in, for each value of `keys`."""
+        up = self.closure.selectExpr("descendant_type as type", "descendant_id as id", "descendant_relation as relation", "ancestor_type as t", "ancestor_id as i", "ancestor_relation as r")
+        above = first.join(up, ["type", "id", "relation"]).select(*keys, F.col("t").alias("type"), F.col("i").alias("id"), F.col("r").alias("relation"))
+        return first.unionByName(above).distinct()
+
+    def held(self) -> DataFrame:
+        """(k, type, id, relation): the usersets that the seeds stand in by name, directly or nested, and are themselves."""
+        if self._held is None:
+            named = self.rels.where("subject_id <> '*'").join(self.seeds, ["subject_type", "subject_id", "subject_relation"]).select("k", F.col("resource_type").alias("type"), F.col("resource_id").alias("id"), "relation")
+            own = self.seeds.where("subject_relation <> ''").select("k", F.col("subject_type").alias("type"), F.col("subject_id").alias("id"), F.col("subject_relation").alias("relation"))
+            self._held = checkpointed(self._above(named.unionByName(own).distinct(), "k"))
+        return self._held
+
+    def open_to(self, goal: Goal) -> DataFrame:
+        """(id, subject_type): the objects on whose relation every plain subject of a type stands, by a wildcard, directly or nested."""
+        if not self.closed(goal):
+            return self._tuples(goal).where("subject_id = '*'").select(F.col("resource_id").alias("id"), "subject_type").distinct()
+        first = self.rels.where("subject_id = '*'").select(F.col("resource_type").alias("type"), F.col("resource_id").alias("id"), "relation", "subject_type").distinct()
+        return self._above(first, "subject_type").where((F.col("type") == goal[0]) & (F.col("relation") == goal[1])).select("id", "subject_type")
 
     def goal(self, goal: Goal) -> DataFrame:
         for stratum in strata(self.schema, [goal]):
@@ -74,7 +104,7 @@ class SubjectBound:
         number = {g: i for i, g in enumerate(s.goals)}
 
         def tagged(frames: dict[Goal, DataFrame | None]) -> DataFrame | None:
-            parts = [f.select(F.lit(number[g]).alias("goal"), "k", "id") for g, f in frames.items() if f is not None]
+            parts = [self._asked(g, f).select(F.lit(number[g]).alias("goal"), "k", "id") for g, f in frames.items() if f is not None]
             return union_all(parts).distinct() if parts else None
 
         def of(df: DataFrame) -> dict[Goal, DataFrame]:
@@ -97,6 +127,10 @@ class SubjectBound:
                 parts = [checkpointed(union_all(parts))]
         return of(union_all(parts))
 
+    def _asked(self, goal: Goal, found: DataFrame) -> DataFrame:
+        """What of `found` can matter."""
+        return found
+
     # one goal, from the current state of the others
 
     def _tuples(self, goal: Goal) -> DataFrame:
@@ -110,36 +144,25 @@ class SubjectBound:
     def _reflexive(self, goal: Goal) -> DataFrame:
         return self.seeds.where((F.col("subject_type") == goal[0]) & (F.col("subject_relation") == goal[1])).select("k", F.col("subject_id").alias("id"))
 
-    def _walked(self, s) -> bool:
-        """Whether a userset kind is walked; with a closure only permissions are, the rest being in it."""
-        return bool(s.relation) and (self.closure is None or self.schema.permission(s.type, s.relation) is not None)
+    def _base(self, goal: Goal) -> DataFrame:
+        """What a relation's tuples say of the seeds themselves: by name, by wildcard, and of the userset that a seed is."""
+        plain = self.seeds.where("subject_relation = ''").select("k", "subject_type")
+        wild = self.open_to(goal).join(plain, "subject_type").select("k", "id")
+        if self.closed(goal):
+            named = self.held().where((F.col("type") == goal[0]) & (F.col("relation") == goal[1])).select("k", "id")
+        else:
+            named = self._tuples(goal).join(self.seeds, ["subject_type", "subject_id", "subject_relation"]).select("k", F.col("resource_id").alias("id")).unionByName(self._reflexive(goal))
+        return named.unionByName(wild)
+
+    def _walked(self, goal: Goal) -> list[Goal]:
+        """The goals of the usersets that a relation is walked through; none, if the closure answers it."""
+        return [] if self.closed(goal) else list(dict.fromkeys((s.type, s.relation) for s in self.schema.relation(*goal).subjects if s.relation))
 
     def _full(self, goal: Goal, state: dict, against: dict) -> DataFrame:
-        if (r := self.schema.relation(*goal)) is None:
+        if self.schema.relation(*goal) is None:
             return self._expr(goal[0], self.schema.permission(*goal).expr, state, against).unionByName(self._reflexive(goal))
-        parts = [self._reflexive(goal)]
-        if self.closure is not None:
-            at = (F.col("subject_type") == goal[0]) & (F.col("subject_relation") == goal[1])
-            parts.append(self.member_of.where(at).select("k", F.col("subject_id").alias("id")))
-        else:
-            tuples = self._tuples(goal)
-            parts.append(tuples.join(self.seeds, ["subject_type", "subject_id", "subject_relation"]).select("k", F.col("resource_id").alias("id")))
-            for s in r.subjects:
-                if s.wildcard:
-                    plain = self.seeds.where((F.col("subject_type") == s.type) & (F.col("subject_relation") == "")).select("k", "subject_type")
-                    parts.append(tuples.where((F.col("subject_type") == s.type) & (F.col("subject_id") == "*")).select("subject_type", "resource_id").join(plain, "subject_type").select("k", F.col("resource_id").alias("id")))
-        for s in r.subjects:
-            if self._walked(s):
-                parts.append(self._above(goal, self._hop(self._tuples(goal).where(F.col("subject_relation") == s.relation), s.type, state[s.type, s.relation])))
-        return union_all(parts)
-
-    def _above(self, goal: Goal, found: DataFrame) -> DataFrame:
-        """With a closure, what is nested above usersets that a permission led to."""
-        if self.closure is None:
-            return found
-        c = self.closure.where((F.col("descendant_type") == goal[0]) & (F.col("descendant_relation") == goal[1]) & (F.col("ancestor_type") == goal[0]) & (F.col("ancestor_relation") == goal[1]))
-        up = c.select(F.col("descendant_id").alias("id"), F.col("ancestor_id").alias("up"))
-        return found.unionByName(found.join(up, "id").select("k", F.col("up").alias("id")))
+        nested = [self._hop(self._tuples(goal).where(F.col("subject_relation") == g[1]), g[0], state[g]) for g in self._walked(goal)]
+        return union_all([self._base(goal), *nested])
 
     def _expr(self, type_: str, e: Expr, state: dict, against: dict) -> DataFrame:
         if isinstance(e, Ref):
@@ -157,9 +180,9 @@ class SubjectBound:
         return self.nothing
 
     def _delta(self, goal: Goal, state: dict, delta: dict, against: dict, own: set[Goal]) -> DataFrame | None:
-        if (r := self.schema.relation(*goal)) is None:
+        if self.schema.relation(*goal) is None:
             return self._expr_delta(goal[0], self.schema.permission(*goal).expr, state, delta, against, own)
-        parts = [self._above(goal, self._hop(self._tuples(goal).where(F.col("subject_relation") == s.relation), s.type, delta[s.type, s.relation])) for s in r.subjects if self._walked(s) and (s.type, s.relation) in own]
+        parts = [self._hop(self._tuples(goal).where(F.col("subject_relation") == g[1]), g[0], delta[g]) for g in self._walked(goal) if g in own]
         return union_all(parts) if parts else None
 
     def _expr_delta(self, type_: str, e: Expr, state: dict, delta: dict, against: dict, own: set[Goal]) -> DataFrame | None:
@@ -188,15 +211,35 @@ class SubjectBound:
         return None
 
 
-def reachable(schema: Schema, rels: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(type, id): the objects that questions about `seeds` can lead to, breadth-first over tuples."""
+def walked_relations(schema: Schema, goals: list[Goal]) -> set[Goal]:
+    """(type, relation) of the tuples that lead from one object to another when `goals` are evaluated."""
+    out: set[Goal] = set()
+
+    def arrows(type_: str, e: Expr) -> None:
+        if isinstance(e, Arrow):
+            out.add((type_, e.relation))
+        for c in e.children if isinstance(e, SetOp) else ():
+            arrows(type_, c)
+
+    for s in strata(schema, goals):
+        for g in s.goals:
+            if schema.relation(*g) is None:
+                arrows(g[0], schema.permission(*g).expr)
+            else:
+                out.add(g)
+    return out
+
+
+def reachable(schema: Schema, rels: DataFrame, seeds: DataFrame, goals: list[Goal]) -> DataFrame:
+    """(type, id): the objects that `goals` on `seeds` can lead to, breadth-first over tuples."""
     types = [t for t, d in schema.definitions.items() if d.relations or d.permissions]
+    over = reduce(lambda a, b: a | b, [(F.col("resource_type") == t) & (F.col("relation") == r) for t, r in sorted(walked_relations(schema, goals))], F.lit(False))
+    steps = rels.where(over & F.col("subject_type").isin(types) & (F.col("subject_id") != "*"))
     frontier = checkpointed(seeds.select("type", "id").distinct())
     parts = [frontier]
     while not frontier.isEmpty():
         seen = union_all(parts)
-        found = rels.join(frontier, (F.col("resource_type") == F.col("type")) & (F.col("resource_id") == F.col("id")), "left_semi")
-        found = found.where(F.col("subject_type").isin(types) & (F.col("subject_id") != "*")).select(F.col("subject_type").alias("type"), F.col("subject_id").alias("id")).distinct()
+        found = steps.join(frontier, (F.col("resource_type") == F.col("type")) & (F.col("resource_id") == F.col("id")), "left_semi").select(F.col("subject_type").alias("type"), F.col("subject_id").alias("id")).distinct()
         frontier = checkpointed(found.join(seen, ["type", "id"], "left_anti"))
         parts.append(frontier)
         if len(parts) > MOST_PARTS:
@@ -204,7 +247,7 @@ def reachable(schema: Schema, rels: DataFrame, seeds: DataFrame) -> DataFrame:
     return union_all(parts)
 
 
-def restricted(schema: Schema, rels: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The tuples that can matter for questions about `seeds` (type, id)."""
-    found = reachable(schema, rels, seeds)
+def restricted(schema: Schema, rels: DataFrame, seeds: DataFrame, goals: list[Goal]) -> DataFrame:
+    """The tuples that can matter for `goals` on `seeds` (type, id)."""
+    found = reachable(schema, rels, seeds, goals)
     return checkpointed(rels.join(found, (F.col("resource_type") == F.col("type")) & (F.col("resource_id") == F.col("id")), "left_semi"))

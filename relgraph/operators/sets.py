@@ -102,7 +102,7 @@ def apply_sets(schema: Schema, rels_after: DataFrame, wanted: list[Goal], stored
     seeds = affected.select(F.col("resource_type").alias("type"), F.col("resource_id").alias("id"))
     from .resolve import restricted
 
-    fresh = permission_sets(schema, restricted(schema, rels_after, seeds), wanted, affected)
+    fresh = permission_sets(schema, restricted(schema, rels_after, seeds, wanted), wanted, affected)
     return checkpointed(kept.unionByName(fresh))
 
 
@@ -129,9 +129,14 @@ def resources_with_permission(schema: Schema, rels: DataFrame, closure: DataFram
 
 
 def has_permission(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, requests: DataFrame) -> DataFrame:
-    """requests (resource_id, k, subject columns) for one goal, with has_permission."""
-    found = resources_with_permission(schema, rels, closure, sets, goal, requests.select("k", "subject_type", "subject_id", "subject_relation").distinct(), requests.select(F.col("resource_id").alias("id")).distinct())
-    yes = found.select("k", F.col("id").alias("resource_id"), F.lit(True).alias("yes"))
+    """requests (resource_id, k, subject columns) for one goal, with has_permission: who grants it on the asked resources, and whether the subject stands there."""
+    subjects = requests.select("k", "subject_type", "subject_id", "subject_relation").distinct()
+    held = member_of(rels, closure, subjects)
+    pairs = requests.select("k", "resource_id").distinct()
+    grants = granting(schema, sets, goal, requests.select("resource_id").distinct())
+    found = pairs.join(grants, "resource_id").join(held, ["k", "type", "id", "relation"], "left_semi").select("k", "resource_id")
+    own = subjects.where((F.col("subject_type") == goal[0]) & (F.col("subject_relation") == goal[1])).select("k", F.col("subject_id").alias("resource_id"))
+    yes = found.unionByName(own).distinct().withColumn("yes", F.lit(True))
     return requests.join(yes, ["k", "resource_id"], "left").withColumn("has_permission", F.coalesce("yes", F.lit(False))).drop("yes")
 
 
