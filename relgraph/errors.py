@@ -21,6 +21,10 @@ class MaxDepthExceeded(RelgraphError):
     """A question took more rounds than allowed."""
 
 
+class Cancelled(RelgraphError):
+    """A question's time was up, or its caller gave it up."""
+
+
 class SchemaMismatch(RelgraphError):
     """Stored tuples that the schema doesn't allow."""
 
