@@ -4,19 +4,23 @@ import itertools
 import random
 
 import pytest
+from oracle import Oracle
 
-from relgraph.model import COLUMNS, ObjectRef
+from relgraph.model import COLUMNS, CheckRequest, ObjectRef, Operation, Relationship, SubjectRef, Update
 from relgraph.operators import questions as Q
 from relgraph.operators.closure import closure_of
 from relgraph.schema import parse
-from relgraph.schema.build import Arrow, Ref, SetOp
+from relgraph.service import Service
+from relgraph.sources.store import Store
 
 SCHEMAS = {
-    "algebra": """definition user {} definition group { relation member: user | user:* | group#member relation banned: user permission allowed = member - banned }
-        definition doc { relation parent: doc relation viewer: user | user:* | group#member | group#allowed relation editor: user | group#member relation banned: user | group#member
-        permission view = (viewer + editor + parent->view) - banned permission both = viewer & editor permission none = nil + editor permission odd = (viewer - editor) & (parent->view + viewer) }""",
-    "hierarchy": """definition user {} definition org { relation admin: user relation member: user | org#member permission all = admin + member }
-        definition doc { relation owner: org relation parent: doc permission view = owner->all + parent->view permission manage = owner->admin & view }""",
+    "clubs": """definition guest {}
+        definition club { relation joined: guest | guest:* | club#joined relation expelled: guest | club#joined permission welcome = joined - expelled }
+        definition room { relation annex: room relation key: guest | club#joined relation pass: guest:* | club#welcome relation ban: guest
+            permission enter = (key + pass + annex->enter) - ban permission dine = key & pass permission sit = nil + dine permission wait = (pass - key) & (annex->enter + pass) }""",
+    "crews": """definition guest {}
+        definition crew { relation chief: guest relation hand: guest | crew#hand permission aboard = chief + hand }
+        definition boat { relation run_by: crew relation tows: boat permission board = run_by->aboard + tows->board permission steer = run_by->chief & board }""",
 }
 IDS = "0123"
 
@@ -29,52 +33,6 @@ def candidates(schema):
     return out
 
 
-class Oracle:
-    """Least fixpoint by rounds over all goals and objects, for one subject; exclusions here are stratified."""
-
-    def __init__(self, schema, tuples, subject):
-        self.schema, self.subject = schema, subject
-        self.by = {}
-        for t in tuples:
-            self.by.setdefault(t[:3], []).append(t[3:])
-        self.true = {}
-
-    def holds(self, t, i, n):
-        key = (t, i, n)
-        todo = self._reach(key)
-        order = [todo]
-        value = dict.fromkeys(todo, False)
-        for keys in order:
-            while True:
-                before = dict(value)
-                for k in keys:
-                    value[k] = self._eval(k, value)
-                if value == before:
-                    return value[key]
-
-    def _reach(self, key):
-        types = self.schema.definitions
-        return [(t, i, n) for t, d in types.items() for i in IDS for n in [*d.relations, *d.permissions]]
-
-    def _eval(self, key, value):
-        t, i, n = key
-        if self.subject == (t, i, n):
-            return True
-        if self.schema.relation(t, n):
-            return any(s == self.subject or s[1] == "*" and (s[0], "") == (self.subject[0], self.subject[2]) or s[2] and value.get(s, False) for s in self.by.get(key, ()))
-        return self._expr(t, i, self.schema.permission(t, n).expr, value)
-
-    def _expr(self, t, i, e, value):
-        if isinstance(e, Ref):
-            return value[t, i, e.name]
-        if isinstance(e, Arrow):
-            return any(value.get((s[0], s[1], e.target), False) for s in self.by.get((t, i, e.relation), ()))
-        if isinstance(e, SetOp):
-            parts = [self._expr(t, i, c, value) for c in e.children]
-            return any(parts) if e.op == "union" else all(parts) if e.op == "intersection" else parts[0] and not parts[1]
-        return False
-
-
 @pytest.mark.parametrize("name", SCHEMAS)
 def test_checks_lookups_and_indexes_agree(spark, name):
     rng = random.Random(len(name))
@@ -82,20 +40,52 @@ def test_checks_lookups_and_indexes_agree(spark, name):
     tuples = rng.sample(candidates(schema), 30)
     rels = spark.createDataFrame(tuples, ", ".join(f"{c} string" for c in COLUMNS)).cache()
     goals = [(t, n) for t, d in schema.definitions.items() for n in [*d.relations, *d.permissions]]
-    subjects = [("user", i, "") for i in [*IDS, "nobody"]] + [(t, i, n) for t, n in goals if t != "doc" and schema.relation(t, n) for i in "01"]
+    subjects = [("guest", i, "") for i in [*IDS, "nobody"]] + [(t, i, n) for t, n in goals if t in ("club", "crew") and schema.relation(t, n) for i in "01"]
     asked = [(t, i, n, *s) for (t, n), i, s in itertools.product(goals, [*IDS, "ghost"], subjects)]
     requests = spark.createDataFrame(asked, "resource_type string, resource_id string, permission string, subject_type string, subject_id string, subject_relation string")
     expected = {}
     for s in subjects:
-        o = Oracle(schema, tuples, s)
+        o = Oracle(schema, tuples, s, IDS)
         for t, n in goals:
             for i in [*IDS, "ghost"]:
-                expected[t, i, n, *s] = i != "ghost" and o.holds(t, i, n)
+                expected[t, i, n, *s] = o.holds(t, i, n)
     for closure in (None, closure_of(rels)):
         found = {tuple(r)[:6]: r["has_permission"] for r in Q.check_bulk(schema, rels, requests, closure=closure).collect()}
         assert {k for k in expected if expected[k] != found[k]} == set()
-    for t, n in [g for g in goals if g[0] == "doc" and schema.permission(*g)][:2]:
-        found = Q.lookup_subjects(schema, rels, ObjectRef(t, "0"), n, "user").collect()
+    seeds = spark.createDataFrame([(str(i), *s) for i, s in enumerate(subjects)], "k string, subject_type string, subject_id string, subject_relation string")
+    for t, n in [g for g in goals if g[0] in ("room", "boat") and schema.permission(*g)][:2]:
+        held = {(r["k"], r["id"]) for r in Q.lookup_resources(schema, rels, (t, n), seeds).collect()}
+        assert held == {(str(i), x) for i, s in enumerate(subjects) for x in IDS if expected[t, x, n, *s]}
+        found = Q.lookup_subjects(schema, rels, ObjectRef(t, "0"), n, "guest").collect()
         holds = {r["subject_id"]: r["holds"] for r in found}
         for i in [*IDS, "nobody"]:
-            assert holds.get(i, holds[Q.ANONYMOUS]) == expected[t, "0", n, "user", i, ""]
+            assert holds.get(i, holds[Q.ANONYMOUS]) == expected[t, "0", n, "guest", i, ""]
+
+
+@pytest.mark.parametrize("index", ["sets", "rebuild", "async"])
+def test_writes_and_questions_in_turn(spark, tmp_path, index):
+    rng = random.Random(5)
+    schema = parse(SCHEMAS["crews"])
+    pool = candidates(schema)
+    s = Service(Store(spark, str(tmp_path)), schema, index=index)
+    stored: set[tuple] = set()
+    for _ in range(2):
+        updates, after = [], set(stored)
+        for t in rng.sample(pool, 14):
+            touch = t not in after or rng.random() < 0.3
+            updates.append(Update(Operation.TOUCH if touch else Operation.DELETE, Relationship(ObjectRef(t[0], t[1]), t[2], SubjectRef(*t[3:]))))
+            (after.add if touch else after.discard)(t)
+        s.write(updates)
+        stored = after
+        if index == "async":
+            s.catchup()
+        assert {tuple(r) for r in s.store.snapshot().rels.collect()} == stored
+        assert s.index.cursor() == s.store.head() and all(d.isEmpty() for d in s.index.verify().values())
+        guests = [("guest", i, "") for i in "01"] + [("crew", "2", "hand")]
+        asked = [(t, i, n, g) for t, n in (("boat", "board"), ("boat", "steer"), ("crew", "hand")) for i in "012" for g in guests]
+        results = s.check_bulk([CheckRequest(ObjectRef(t, i), n, SubjectRef(*g)) for t, i, n, g in asked])
+        oracles = {g: Oracle(schema, stored, g, IDS) for g in guests}
+        assert [r.has_permission for r in results] == [oracles[g].holds(t, i, n) for t, i, n, g in asked]
+        assert s.lookup_resources("boat", "board", SubjectRef("guest", "0")) == [i for i in IDS if oracles[guests[0]].holds("boat", i, "board")]
+    found = s.lookup_subjects(ObjectRef("boat", "1"), "board", "guest")
+    assert found.subject_ids == tuple(i for i in IDS if Oracle(schema, stored, ("guest", i, ""), IDS).holds("boat", "1", "board"))

@@ -17,7 +17,7 @@ def test_registration():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
-@pytest.mark.parametrize("name", ["read_filter", "relationship_kinds", "parse_tuples", "validate_stored", "nested_relationships", "closure_edge_removed", "check_bulk_exclusion", "lookup_resources_recursive", "lookup_subjects_wildcard", "permission_sets", "write_fold", "catchup"])
+@pytest.mark.parametrize("name", ["read_filter", "relationship_kinds", "parse_tuples", "validate_stored", "nested_relationships", "closure_edge_removed", "closure_of_a_cycle", "check_bulk_exclusion", "check_bulk_errors", "lookup_resources_recursive", "lookup_subjects_wildcard", "expand_tree", "permission_sets", "write_fold", "changes_since", "catchup"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
