@@ -30,7 +30,7 @@ def encode(values: np.ndarray) -> bytes:
 
 
 class Ascending:
-    """Encoded numbers; `select(i)` reads one of them, `all()` decodes them all."""
+    """Encoded numbers; `select(i)` reads one of them, `between` a stretch, `all()` decodes them all."""
 
     def __init__(self, data: bytes):
         self.n, self.most, self.width, a, b, c = struct.unpack_from(_HEAD, data)
@@ -59,11 +59,22 @@ class Ascending:
         low = int.from_bytes(self.lower[start // 8 : (start + self.width + 7) // 8].tobytes(), "little") >> start % 8
         return high << self.width | low & (1 << self.width) - 1
 
-    def all(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n] - np.arange(self.n)
-        out = high.astype(np.uint64) << np.uint64(self.width)
-        if self.width and self.n:
-            bits = np.unpackbits(self.lower, count=self.n * self.width, bitorder="little").reshape(self.n, self.width)
+    def between(self, first: int, last: int) -> np.ndarray:
+        """Numbers first … last - 1, selected together: only the samples' stretch that holds them is decoded."""
+        if first >= last:
+            return np.zeros(0, np.int64)
+        begin, end = int(self.samples[first // SAMPLE]), -(-last // SAMPLE)
+        stop = int(self.samples[end]) if end < len(self.samples) else 8 * len(self.upper)
+        ones = np.flatnonzero(np.unpackbits(self.upper[begin // 8 : stop // 8 + 1], bitorder="little")) + begin // 8 * 8
+        skip = int(np.searchsorted(ones, begin)) + first % SAMPLE
+        out = (ones[skip : skip + last - first] - np.arange(first, last)).astype(np.uint64) << np.uint64(self.width)
+        if self.width:
+            at = first * self.width
+            bits = np.unpackbits(self.lower[at // 8 : (last * self.width + 7) // 8], bitorder="little")[at % 8 :]
+            bits = bits[: (last - first) * self.width].reshape(last - first, self.width)
             for k in range(self.width):
                 out |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return out.astype(np.int64)
+
+    def all(self) -> np.ndarray:
+        return self.between(0, self.n)

@@ -31,12 +31,14 @@ from .pretokens import split_pretokens
 MAGIC = b"RGT1"
 _FOOT = "<QQQQqB4s"
 CHUNK_BYTES = 24 << 20
+#: Documents whose boundaries are selected together, and ids that are read together.
+READ_DOCS, READ_IDS = 1 << 16, 4 << 20
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 250_000
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, each different word of a byte-level tokenizer encoded once a chunk."""
+    """Ids of whole texts by the tokenizers library, each different word of a byte-level tokenizer encoded once a chunk; null texts count as empty."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -154,7 +156,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
 
 
 class Shard:
-    """One file: `offsets()` and `doc_ids()` of all documents, `ids(i)` of one by select, or blocks of them."""
+    """One file: `starts` and `doc_ids` of a stretch of documents, `ids(i)` of one by select, or blocks of them."""
 
     def __init__(self, folder: str, name: str):
         store, where = open_folder(folder)
@@ -168,12 +170,15 @@ class Shard:
         rest = self.file.read_at(size - at - foot, at)
         self.bounds, self.keys = eliasfano.Ascending(rest), eliasfano.Ascending(rest[bounds:])
 
-    def offsets(self) -> np.ndarray:
-        return np.concatenate([[0], self.bounds.all()]).astype(np.int64)
+    def starts(self, first: int, last: int) -> np.ndarray:
+        """Where documents first … last - 1 begin, and where the last of them ends."""
+        ends = self.bounds.between(max(0, first - 1), last)
+        return ends if first else np.concatenate([[0], ends])
 
-    def doc_ids(self) -> pa.Array:
-        known = (self.keys.all().astype(np.uint64) + np.uint64(self.first % (1 << 64))).view(np.int64)
-        return pa.concat_arrays([pa.nulls(self.missing, pa.int64()), pa.array(known, pa.int64())])
+    def doc_ids(self, first: int, last: int) -> pa.Array:
+        known = self.keys.between(max(0, first - self.missing), max(0, last - self.missing))
+        missing = max(0, min(last, self.missing) - first)
+        return pa.concat_arrays([pa.nulls(missing, pa.int64()), pa.array((known.astype(np.uint64) + np.uint64(self.first % (1 << 64))).view(np.int64), pa.int64())])
 
     def read(self, first: int, last: int) -> np.ndarray:
         width = self.dtype.itemsize
@@ -191,14 +196,16 @@ def _reader(folder: str):
         for batch in batches:
             for name, before in zip(batch.column("file").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 shard = Shard(folder, name)
-                offsets, keys, first = shard.offsets(), shard.doc_ids(), 0
-                while first < shard.n:
-                    last = min(shard.n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + (4 << 20), "right")) - 1))
-                    ids = memoryview(shard.read(int(offsets[first]), int(offsets[last])).astype("<u4")).cast("B")
-                    at = ((offsets[first : last + 1] - offsets[first]) * 4).tolist()
-                    sums = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(offsets[first:last] + before), pa.array(np.diff(offsets[first : last + 1])), pa.array(sums, pa.int64())], schema=_DIGEST)
-                    first = last
+                for begin in range(0, shard.n, READ_DOCS):
+                    end = min(shard.n, begin + READ_DOCS)
+                    offsets, keys, first = shard.starts(begin, end), shard.doc_ids(begin, end), 0
+                    while first < len(keys):
+                        last = min(len(keys), max(first + 1, int(np.searchsorted(offsets, offsets[first] + READ_IDS, "right")) - 1))
+                        ids = memoryview(shard.read(int(offsets[first]), int(offsets[last])).astype("<u4")).cast("B")
+                        at = ((offsets[first : last + 1] - offsets[first]) * 4).tolist()
+                        sums = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                        yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(offsets[first:last] + before), pa.array(np.diff(offsets[first : last + 1])), pa.array(sums, pa.int64())], schema=_DIGEST)
+                        first = last
 
     return run
 

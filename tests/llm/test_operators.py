@@ -273,6 +273,9 @@ def test_elias_fano(values):
     back = eliasfano.Ascending(data + b"rest")
     assert back.size == len(data) and (back.all() == values).all()
     assert [back.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
+    for first in range(0, len(values), 97):
+        for last in (first, first + 1, first + 60, len(values)):
+            assert (back.between(first, min(last, len(values))) == values[first:last]).all()
 
 
 def test_tokens(docs, rows, empty, tmp_path):
@@ -288,7 +291,7 @@ def test_tokens(docs, rows, empty, tmp_path):
     same([tuple(r) for r in found], expected)
     first = manifest.orderBy("shard").first()
     shard = tokens.Shard(str(tmp_path / "t"), first["file"])
-    assert [len(shard.ids(i)) for i in range(shard.n)] == np.diff(shard.offsets()).tolist()
+    assert [len(shard.ids(i)) for i in range(shard.n)] == np.diff(shard.starts(0, shard.n)).tolist()
     assert tokens.read_tokens(tokens.write_tokens(empty, path, 2, str(tmp_path / "e")), str(tmp_path / "e")).count() == 0
 
 
