@@ -30,7 +30,7 @@ def _base(docs: DataFrame, carry: bool) -> DataFrame:
     extra = {
         "_size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"),
         "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~null")),
-        "_place": F.conv(F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("bigint"),
+        "_place": F.conv(F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.md5("text"), F.lit("")))), 1, 15), 16, 10).cast("bigint"),
         "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))),
         "_tie": F.xxhash64(F.col("text")),
     }
@@ -123,7 +123,7 @@ OP7_SQL = r"""
 with d as (
   select row_number() over () as row, doc_id, cast(case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end as bigint) as size,
          coalesce('=' || source, '~null') as src,
-         cast('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), 'null')), 1, 15) as bigint) as place
+         cast('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), 'null') || coalesce(md5(text), '')), 1, 15) as bigint) as place
   from documents),
 s as (
   select src, cast(sum(size) as bigint) as source_size, [5, 2, 1][cast((row_number() over (order by src) - 1) % 3 + 1 as int)] as weight
