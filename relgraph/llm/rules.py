@@ -187,7 +187,7 @@ def quality_rules(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFra
 
 
 def keep_good(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFrame:
-    """The rows of `docs` that the rules keep, with all their columns."""
+    """The rows of `docs` that the rules keep, with all their columns; null texts go, repeated rows are judged alike."""
     names = docs.columns
 
     @tidy

@@ -194,7 +194,7 @@ def _links(batches):
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links that join what chains of 3 or fewer differing bits join, for a table of distinct `fp`."""
+    """(a, b): links that join what chains of 3 or fewer differing bits join, for a table of distinct `fp` without nulls; none for an empty one."""
     n = distinct.count()
     masks = _plan(distinct, n)
     keys = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(m))) for m in masks])).alias("part", "key"))
