@@ -24,26 +24,84 @@ from .common import coded, slices, split_words, table
 CHUNK_BYTES = 16 << 20
 #: phrase: label.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: label: (template, mandatory key phrases), lower-cased words.
+# Public licence texts and notices, as lower-cased words.
+_MIT = """
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal
+in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software
+"""
+_ISC = """
+permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright
+notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this
+software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or
+consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+tortious action arising out of or in connection with the use or performance of this software
+"""
+_BSD_2 = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+and or other materials provided with the distribution
+"""
+_BSD_3 = """
+neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission
+"""
+_APACHE = """
+licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of
+the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the
+license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific
+language governing permissions and limitations under the license
+"""
+_GPL = """
+this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free
+software foundation either version {} of the license or at your option any later version this program is distributed in the hope that it will be
+useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public
+license for more details
+"""
+_MPL = """
+this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can
+obtain one at http mozilla org mpl 2 0
+"""
+_UNLICENSE = """
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
+software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means
+"""
+_ZLIB = """
+this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the
+use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and
+redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented
+"""
+#: label: (template, mandatory key phrases).
 TEMPLATES = {
+    "mit-text": (_MIT, ("permission is hereby granted free of charge", "the rights to use copy modify merge publish distribute sublicense")),
+    "isc": (_ISC, ("permission to use copy modify and or distribute this software", "the author disclaims all warranties")),
+    "bsd-2-clause": (_BSD_2, ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce")),
+    "bsd-3-clause": (_BSD_3, ("may be used to endorse or promote products derived from this software",)),
+    "apache-2.0-notice": (_APACHE, ("licensed under the apache license version 2 0", "you may not use this file except in compliance with the license")),
+    "gpl-2.0-notice": (_GPL.format(2), ("this program is free software", "either version 2 of the license")),
+    "gpl-3.0-notice": (_GPL.format(3), ("this program is free software", "either version 3 of the license")),
+    "mpl-2.0": (_MPL, ("mozilla public license v 2 0",)),
+    "unlicense": (_UNLICENSE, ("free and unencumbered software",)),
+    "zlib": (_ZLIB, ("the origin of this software must not be misrepresented",)),
     "apache-2.0": ("licensed under the apache license version 2 0", ("apache license version 2 0",)),
     "gpl-2.0": ("licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     "gpl-3.0": ("licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     "lgpl": ("licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     "agpl": ("licensed under the gnu affero general public license", ("gnu affero general public license",)),
-    "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     "cc-by-4.0": ("licensed under cc by 4 0", ("cc by 4 0",)),
     "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     "cc-by-sa-4.0": ("licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    "cc-by": ("licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
+    "cc-by-attribution": ("licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     "mit-notice": ("released under the mit license", ("mit license",)),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose", ("permission to use copy modify and or distribute",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 }
-#: Highest-IDF words of a template that vote, how far words may have moved, and the shares of weight that are needed.
-ANCHORS, SHIFT, VOTE_SHARE, MATCH_SHARE = 4, 3, 0.4, 0.55
+#: Highest-IDF words of a template that vote, how far words may have moved (at least, and as a share of the template's
+#: length, as lost or added words move all that follows), and the shares of weight that are needed.
+ANCHORS, SHIFT, DRIFT, VOTE_SHARE, MATCH_SHARE = 8, 3, 0.15, 0.4, 0.55
 
 
 class Index:
@@ -124,20 +182,21 @@ def scan_file(found: np.ndarray, index: Index) -> tuple[list[str], float]:
         if not present or any(i not in places for k in keys for i in k):
             continue
         votes: dict[int, set] = defaultdict(set)
+        shift = max(SHIFT, int(DRIFT * len(ids)))
         for i in present:
             for p in places[i]:
                 for k in spots[i]:
-                    votes[(p - k) // (SHIFT + 1)].add(i)
+                    votes[(p - k) // (shift + 1)].add(i)
         for cell in sorted(votes):
             own = votes[cell] | votes.get(cell + 1, set())
             if sum(index.weight[i] for i in own) < VOTE_SHARE * rare_weight:
                 continue
-            first = cell * (SHIFT + 1)
-            begin, end = max(0, first - SHIFT), first + 2 * (SHIFT + 1) + len(ids) + SHIFT
+            first = cell * (shift + 1)
+            begin, end = max(0, first - shift), first + 2 * (shift + 1) + len(ids) + shift
             window = found[begin:end]
             if any(not len(phrase_at(window, k, index.weight)) for k in keys):
                 continue
-            near = [set(found[max(0, first + k - SHIFT) : first + k + 2 * (SHIFT + 1)].tolist()) for k in range(len(ids))]
+            near = [set(found[max(0, first + k - shift) : max(0, first + k + 2 * (shift + 1))].tolist()) for k in range(len(ids))]
             share = sum(index.weight[i] for i, around in zip(ids, near, strict=True) if i in around) / all_weight
             if share >= MATCH_SHARE:
                 labels.append(label)

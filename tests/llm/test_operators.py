@@ -84,12 +84,35 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_license_template_without_a_base_phrase():
+def test_license_texts(spark):
+    rng = random.Random(3)
+    filler = [f"w{rng.randint(0, 500)}" for _ in range(900)]
+    rows, expected = [], {}
+    for i, (label, (text, keys)) in enumerate(licenses.TEMPLATES.items()):
+        whole, cut = text.split(), rng.randint(0, 400)
+        rows.append((i, " ".join([*filler[:cut], *whole, *filler[cut:]]).title()))
+        expected[i] = label
+        if len(whole) > 40:  # a word in ten is lost, but not the key phrases
+            kept = [w for k, w in enumerate(whole) if k % 10 or any(w in x.split() for x in keys)]
+            rows.append((100 + i, " ".join([*filler[:cut], *kept, *filler[cut:]])))
+            expected[100 + i] = label
+    shuffled = licenses.TEMPLATES["mit-text"][0].split()
+    rng.shuffle(shuffled)
+    rows += [(1000, " ".join(shuffled)), (1001, " ".join(filler))]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in expected.items():
+        assert label in found[i]["labels"].split(",") and found[i]["score"] > 0.55
+    assert found[1000]["labels"] == found[1001]["labels"] == ""
+
+
+def test_license_scan_against_plain_windows():
+    """A template is found exactly where its key phrases stand within a window that holds enough of its weight."""
     index = licenses.Index(licenses.BASE, licenses.TEMPLATES, {}, 10)
     number = lambda text: np.array([index.words.get(w.encode(), -1) for w in text.split()])
-    labels, score = licenses.scan_file(number("x y permission is hereby granted free of charge to any person obtaining some copy of this software z"), index)
-    assert labels == ["mit"] and 0.8 < score < 1
+    labels, score = licenses.scan_file(number("x y " + " ".join(licenses._ISC.split()[:70]) + " z"), index)
+    assert labels == ["isc"] and 0.55 < score < 1
     assert licenses.scan_file(number("free of charge permission granted hereby is"), index) == ([], 0.0)
+    assert licenses.scan_file(number(" ".join(licenses._ISC.split()[:12])), index) == ([], 0.0)  # a key phrase is missing
 
 
 def test_urls(spark):
