@@ -1,6 +1,6 @@
 """Permission sets: for a permission on a resource, the usersets of other objects that grant it.
 
-Sets are reached through arrows; the resource's own relations are static and added when a question is asked.
+No wildcard counts: permissions that take one aren't materialised. Sets are reached through arrows; the resource's own relations are static and added when a question is asked.
 All rules are linear, so one table (type, permission, id, set) grows by joins with what the last round found.
 """
 
@@ -119,7 +119,7 @@ def granting(schema: Schema, sets: DataFrame, goal: Goal, resources: DataFrame)
 
 def resources_with_permission(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, subjects: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(k, id): the resources on which each subject has the permission; `among` (id) narrows them."""
-    held = checkpointed(member_of(rels, closure, subjects))
+    held = checkpointed(member_of(rels, closure, subjects, wildcards=False))
     stored = sets.where((F.col("resource_type") == goal[0]) & (F.col("permission") == goal[1])).select(F.col("resource_id"), F.col("set_type").alias("type"), F.col("set_id").alias("id"), F.col("set_relation").alias("relation"))
     found = stored.join(held, ["type", "id", "relation"]).select("k", F.col("resource_id").alias("id"))
     static = held.where((F.col("type") == goal[0]) & F.col("relation").isin(static_relations(schema, goal))).select("k", "id")
@@ -131,7 +131,7 @@ def resources_with_permission(schema: Schema, rels: DataFrame, closure: DataFram
 def has_permission(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, requests: DataFrame) -> DataFrame:
     """requests (resource_id, k, subject columns) for one goal, with has_permission: who grants it on the asked resources, and whether the subject stands there."""
     subjects = requests.select("k", "subject_type", "subject_id", "subject_relation").distinct()
-    held = member_of(rels, closure, subjects)
+    held = member_of(rels, closure, subjects, wildcards=False)
     pairs = requests.select("k", "resource_id").distinct()
     grants = granting(schema, sets, goal, requests.select("resource_id").distinct())
     found = pairs.join(grants, "resource_id").join(held, ["k", "type", "id", "relation"], "left_semi").select("k", "resource_id")
