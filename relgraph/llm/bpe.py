@@ -35,9 +35,9 @@ NONE = 1 << 30
 #: Text bytes of the documents whose distinct words are encoded together.
 CHUNK_BYTES = 4 << 20
 #: Most words that are encoded once for all tasks, each of LONG_WORD bytes at most, and the least count of one.
-KNOWN, LEAST_COUNT = 500_000, 4
+KNOWN, LEAST_COUNT = 400_000, 4
 #: Text bytes that are split, and words that are put together again, at once.
-SPLIT_BYTES, JOIN_WORDS = 4 << 20, 1 << 20
+SPLIT_BYTES, JOIN_WORDS = 2 << 20, 1 << 19
 
 
 @cache

@@ -9,7 +9,6 @@ depend on the corpus or its size.
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -63,7 +62,7 @@ class Fertility:
 
         from .bpe import ranks_of
 
-        self.bytewise = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(ranks_path), special_tokens={})
+        self.bytewise = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of.__wrapped__(ranks_path), special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
         self.new: dict[bytes, tuple[bytes, int, int]] = {}
@@ -85,11 +84,6 @@ class Fertility:
         return out
 
 
-@lru_cache(maxsize=2)
-def fertility(ranks_path: str, pieces_path: str) -> Fertility:
-    return Fertility(ranks_path, pieces_path)
-
-
 def repeated_words(codes: np.ndarray) -> int:
     """Words in 3-word windows that occur twice or more among `codes`, the first occurrence included."""
     if len(codes) < 4:
@@ -178,7 +172,7 @@ def quality_rules(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFra
 
     @tidy
     def run(batches):
-        model = fertility(ranks_path, pieces_path)
+        model = Fertility(ranks_path, pieces_path)  # as long as the task: workers wait for others with what they hold
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES):
                 yield measure(part, model)
@@ -192,7 +186,7 @@ def keep_good(docs: DataFrame, ranks_path: str, pieces_path: str) -> DataFrame:
 
     @tidy
     def run(batches):
-        model = fertility(ranks_path, pieces_path)
+        model = Fertility(ranks_path, pieces_path)  # as long as the task: workers wait for others with what they hold
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES):
                 judged = pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column("text")], names=["doc_id", "text"])
