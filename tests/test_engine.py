@@ -7,6 +7,7 @@ from oracle import Oracle
 
 from relgraph.errors import Cancelled, FormatVersion, InvalidArgument, MaxDepthExceeded, NestingTooLarge, PreconditionFailed, RelationshipExists, RelgraphError, SchemaMismatch
 from relgraph.model import CheckRequest, ObjectRef, Operation, Precondition, RelationshipFilter, SubjectRef, Update, parse_relationship
+from relgraph.operators import closure
 from relgraph.plans.deadline import deadline
 from relgraph.schema import parse
 from relgraph.service import Service
@@ -155,6 +156,11 @@ def test_nesting_budget(spark, tmp_path):
     assert s.store.head() == s.index.cursor() == 1 and s.index.rows()[0].count() == 3
 
 
+def test_edges_are_added_without_a_limit(spark):
+    stars = spark.range(320).selectExpr("concat('u', id) as a", "'x' as d").unionByName(spark.range(320).selectExpr("'y' as a", "concat('v', id) as d"))
+    assert closure.edges_added(closure.transitive(stars), spark.createDataFrame([("x", "y")], "a string, d string")).count() == 640 + 321 * 321
+
+
 def test_a_veto_leaves_store_and_index_as_they_were(spark, tmp_path):
     vetoes = []
 
