@@ -23,7 +23,8 @@ class Index:
     A revision's rows are in index/N-commit, with a file DONE that names the folders which hold them: a write that
     changes no nesting, or no tuple that an arrow walks, refers to the rows of an earlier revision. Rows count only
     if the store has a head of that commit, so a write that is vetoed or never ends leaves nothing behind. With
-    `rebuild`, every write derives the index anew.
+    `rebuild`, every write derives the index anew. The nesting budget refuses writes; what the log holds has been
+    written, so a follower applies all of it.
     """
 
     def __init__(self, store: Store, schema: Schema | None = None, mode: str = "sets", permissions: list[str] | None = None, nesting_budget: int = C.DEFAULT_BUDGET, rebuild: bool = False):
@@ -77,7 +78,7 @@ class Index:
         if snapshot.revision:
             self._write(self._folder(snapshot.revision), *self._derive(snapshot.rels))
 
-    def _applied(self, changes: DataFrame, rels_after: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    def _applied(self, changes: DataFrame, rels_after: DataFrame, budget: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
         """Closure and sets after a write; None for what it leaves as it was."""
         if self.rebuild or not self.cursor():
             return self._derive(rels_after)
@@ -92,7 +93,7 @@ class Index:
             if not removed.isEmpty():
                 pairs = C.edges_removed(pairs, removed, after)
             if not added.isEmpty():
-                pairs = C.edges_added(pairs, added, self.budget)
+                pairs = C.edges_added(pairs, added, budget)
             new_closure = C.unpacked(pairs)
         if self.goals:
             over = S.walks_arrow(self.schema, self.goals)
@@ -105,7 +106,7 @@ class Index:
         """Maintenance inside a write: rows for the coming revision, which count once its head is written."""
         if self.cursor() != transaction.base.revision:
             raise ForeignSnapshot("the index doesn't describe the revision that the write began at; reindex first")
-        self._write(self._folder(transaction.base.revision + 1, transaction.commit_id), *self._applied(changes, transaction.rels.select(*COLUMNS)))
+        self._write(self._folder(transaction.base.revision + 1, transaction.commit_id), *self._applied(changes, transaction.rels.select(*COLUMNS), self.budget))
 
     def apply_revision(self, revision: int) -> None:
         """Apply one revision of the change log; one that the index has seen is skipped."""

@@ -6,6 +6,7 @@ import pytest
 from oracle import Oracle
 
 from relgraph.errors import Cancelled, FormatVersion, InvalidArgument, MaxDepthExceeded, NestingTooLarge, PreconditionFailed, RelationshipExists, RelgraphError, SchemaMismatch
+from relgraph.index import Index
 from relgraph.model import CheckRequest, ObjectRef, Operation, Precondition, RelationshipFilter, SubjectRef, Update, parse_relationship
 from relgraph.operators import closure
 from relgraph.plans.deadline import deadline
@@ -14,6 +15,7 @@ from relgraph.service import Service
 from relgraph.sources import store as stores
 from relgraph.sources.files import validation_file
 from relgraph.sources.store import Store
+from relgraph.streaming.follow import catchup
 
 HOSPITAL = """
 definition person {}
@@ -156,6 +158,15 @@ def test_nesting_budget(spark, tmp_path):
     assert s.store.head() == s.index.cursor() == 1 and s.index.rows()[0].count() == 3
 
 
+def test_nesting_beyond_the_budget_in_the_log(spark, tmp_path):
+    """Only writes are refused: the log is followed whole."""
+    s = service(spark, tmp_path, HOSPITAL, [])
+    index = Index(s.store, mode="closure", nesting_budget=3)
+    for tuples in (["shift:a#on_duty@shift:b#on_duty", "shift:b#on_duty@shift:c#on_duty"], ["shift:c#on_duty@shift:d#on_duty", "shift:d#on_duty@shift:e#on_duty"]):
+        touch(s, *tuples)
+    assert catchup(index) == 2 and index.rows()[0].count() == 10
+
+
 def test_edges_are_added_without_a_limit(spark):
     stars = spark.range(320).selectExpr("concat('u', id) as a", "'x' as d").unionByName(spark.range(320).selectExpr("'y' as a", "concat('v', id) as d"))
     assert closure.edges_added(closure.transitive(stars), spark.createDataFrame([("x", "y")], "a string, d string")).count() == 640 + 321 * 321
