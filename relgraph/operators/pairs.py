@@ -50,7 +50,7 @@ class PairBound(SubjectBound):
         if self.schema.relation(*goal) is not None:
             return self._relation(goal, pairs)
         own = pairs.join(self._reflexive(goal), PAIR, "left_semi")
-        return checkpointed(own.unionByName(self._narrowed(goal[0], self.schema.permission(*goal).expr, pairs)).distinct())
+        return checkpointed(own.unionByName(self.narrowed(goal[0], self.schema.permission(*goal).expr, pairs)).distinct())
 
     def _said(self, goal: Goal, pairs: DataFrame) -> DataFrame:
         """The pairs on which a relation's own tuples (with a closure, also nested ones) say that it holds."""
@@ -93,7 +93,8 @@ class PairBound(SubjectBound):
             ways.append(lambda left, g=g: self._through(left, self._tuples(goal).where(F.col("subject_relation") == g[1]), g))
         return self._any(pairs, ways)
 
-    def _narrowed(self, type_: str, e: Expr, pairs: DataFrame) -> DataFrame:
+    def narrowed(self, type_: str, e: Expr, pairs: DataFrame) -> DataFrame:
+        """The `pairs` on which an expression holds."""
         if isinstance(e, Ref):
             return self.holds((type_, e.name), pairs)
         if isinstance(e, Arrow):
@@ -101,12 +102,12 @@ class PairBound(SubjectBound):
             return self._any(pairs, [lambda left, t=t: self._through(left, tuples, (t, e.target)) for t in arrow_targets(self.schema, type_, e)])
         if isinstance(e, SetOp):
             if e.op == "union":
-                return self._any(pairs, [lambda left, c=c: self._narrowed(type_, c, left) for c in e.children])
+                return self._any(pairs, [lambda left, c=c: self.narrowed(type_, c, left) for c in e.children])
             if e.op == "exclusion":
-                left = checkpointed(self._narrowed(type_, e.children[0], pairs))
-                return left.join(self._narrowed(type_, e.children[1], left), PAIR, "left_anti")
+                left = checkpointed(self.narrowed(type_, e.children[0], pairs))
+                return left.join(self.narrowed(type_, e.children[1], left), PAIR, "left_anti")
             for c in e.children:
-                pairs = checkpointed(self._narrowed(type_, c, pairs))
+                pairs = checkpointed(self.narrowed(type_, c, pairs))
             return pairs
         return pairs.where(F.lit(False))
 

@@ -8,6 +8,7 @@ side leads back into the stratum, the other bound of an alternating fixpoint.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, MaxDepthExceeded
 from ..plans.checkpoint import checkpointed
-from ..plans.compile import Goal, Stratum, arrow_targets, strata
+from ..plans.compile import Goal, Stratum, arrow_targets, deps, expr_deps, strata
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
 
 #: Tables of rounds that are read as a union before they are written as one.
@@ -74,11 +75,40 @@ class SubjectBound:
         return self._above(first, "subject_type").where((F.col("type") == goal[0]) & (F.col("relation") == goal[1])).select("id", "subject_type")
 
     def goal(self, goal: Goal) -> DataFrame:
-        for stratum in strata(self.schema, [goal]):
+        recursive = {g for s in strata(self.schema, [goal]) if s.recursive for g in s.goals}
+        for stratum in strata(self.schema, [goal], lambda g: self._needs(g, recursive)):
             if any(g not in self.done for g in stratum.goals):
                 self._evaluate(stratum)
         return self.done[goal]
 
+    def _named(self, type_: str, e: Expr) -> Expr | None:
+        """The operand of an intersection that plain tuples answer, by which the others are narrowed."""
+        plain = lambda c: isinstance(c, Ref) and (r := self.schema.relation(type_, c.name)) is not None and not any(s.relation or s.wildcard for s in r.subjects)
+        return next((c for c in e.children if plain(c)), None) if isinstance(e, SetOp) and e.op == "intersection" else None
+
+    def _needs(self, goal: Goal, recursive: set[Goal]) -> list[tuple[Goal, bool]]:
+        """What a goal is evaluated from: of an intersection outside of recursive strata, the operand that narrows the others."""
+        if self.schema.relation(*goal) is not None or goal in recursive:
+            return deps(self.schema, goal)
+
+        def kept(e: Expr) -> Expr:
+            return self._named(goal[0], e) or (replace(e, children=tuple(map(kept, e.children))) if isinstance(e, SetOp) else e)
+
+        return expr_deps(self.schema, goal[0], kept(self.schema.permission(*goal).expr))
+
+    def _intersection(self, type_: str, e: SetOp, state: dict, against: dict) -> DataFrame:
+        first = self._named(type_, e)
+        if first is None or all(d in state for d, _ in expr_deps(self.schema, type_, e)):
+            return reduce(lambda a, b: a.join(b, ["k", "id"], "left_semi"), [self._expr(type_, c, state, against) for c in e.children])
+        from .pairs import PairBound
+
+        bound = PairBound(self.schema, self.rels, self.seeds, self.max_depth, self.closure)
+        found = checkpointed(self._expr(type_, first, state, against))
+        for c in e.children:
+            if c is not first:
+                found = checkpointed(bound.narrowed(type_, c, found))
+        return found
+
     def _evaluate(self, s: Stratum) -> None:
         if not s.recursive:
             (g,) = s.goals
@@ -175,8 +205,9 @@ class SubjectBound:
             if e.op == "exclusion":
                 left, right = e.children
                 return self._expr(type_, left, state, against).join(self._expr(type_, right, against, state), ["k", "id"], "left_anti")
-            parts = [self._expr(type_, c, state, against) for c in e.children]
-            return union_all(parts) if e.op == "union" else reduce(lambda a, b: a.join(b, ["k", "id"], "left_semi"), parts)
+            if e.op == "union":
+                return union_all([self._expr(type_, c, state, against) for c in e.children])
+            return self._intersection(type_, e, state, against)
         return self.nothing
 
     def _delta(self, goal: Goal, state: dict, delta: dict, against: dict, own: set[Goal]) -> DataFrame | None:

@@ -300,7 +300,7 @@ _query(f"with recursive {G}, {_MINE}, {_TRACED} select id from v order by id lim
 
 @_query(f"with recursive {G}, {_DEALS} select distinct b.subject_id as k, b.resource_id as id from g b join g s on s.resource_id = b.resource_id and s.resource_type = 'purchase' and s.relation = 'source' join ov on ov.org = s.subject_id and ov.usr = b.subject_id where b.resource_type = 'purchase' and b.relation = 'buyer'")
 def lookup_resources_intersection(spark, d):
-    return Q.lookup_resources(graph_schema(), _graph(spark, d), ("purchase", "local"), _customers(spark, d))
+    return Q.lookup_resources(graph_schema(), graph(spark, d), ("purchase", "local"), _customers(spark, d))
 
 
 @_query(f"with recursive {G}, {_DEALS} select distinct usr as k, org as id from ov")

@@ -9,6 +9,7 @@ from relgraph.errors import Cancelled, FormatVersion, InvalidArgument, MaxDepthE
 from relgraph.index import Index
 from relgraph.model import CheckRequest, ObjectRef, Operation, Precondition, RelationshipFilter, SubjectRef, Update, parse_relationship
 from relgraph.operators import closure
+from relgraph.operators.resolve import SubjectBound
 from relgraph.plans.deadline import deadline
 from relgraph.schema import parse
 from relgraph.service import Service
@@ -151,6 +152,15 @@ def test_index_is_maintained(spark, tmp_path):
     assert all(d.isEmpty() for d in s.index.verify().values())
 
 
+def test_intersections_are_narrowed_by_their_named_operand(spark, tmp_path):
+    """Nobody's clinics by `staffed_by->head` are looked for but those that they direct."""
+    s = service(spark, tmp_path, HOSPITAL, [*TUPLES, "clinic:south#staffed_by@shift:day", "clinic:south#director@person:dot", "clinic:east#staffed_by@shift:day"])
+    people = spark.createDataFrame([(x, "person", x, "") for x in ("dot", "eli", "fay")], "k string, subject_type string, subject_id string, subject_relation string")
+    bound = SubjectBound(parse(HOSPITAL), s.store.snapshot().rels, people)
+    assert sorted(map(tuple, bound.goal(("clinic", "inspect")).collect())) == [("dot", "north"), ("dot", "south")]
+    assert ("shift", "head") not in bound.done and ("clinic", "director") in bound.done
+
+
 def test_nesting_budget(spark, tmp_path):
     s = service(spark, tmp_path, HOSPITAL, ["shift:a#on_duty@shift:b#on_duty", "shift:b#on_duty@shift:c#on_duty"], index="closure", nesting_budget=3)
     with pytest.raises(NestingTooLarge):
