@@ -114,17 +114,22 @@ def nested_relationships(rels: DataFrame, closure: DataFrame, usersets: DataFram
     return out if subject_relation is None else out.where(F.col("subject_relation") == subject_relation)
 
 
-def member_of(rels: DataFrame, closure: DataFrame, subjects: DataFrame, wildcards: bool = True) -> DataFrame:
-    """(k, type, id, relation): usersets that hold each subject (k, subject_type, subject_id, subject_relation), directly, nested, by a wildcard, or as themselves.
-
-    Without `wildcards`, by name alone: where no wildcard can count, every subject would still be paired with all of them.
-    """
+def directly_in(rels: DataFrame, subjects: DataFrame, wildcards: bool = True) -> DataFrame:
+    """(k, type, id, relation): usersets that hold each subject (k, subject_type, subject_id, subject_relation) by its name, by a wildcard, or as themselves."""
     names = ["subject_type", "subject_id", "subject_relation"]
     here = ["k", F.col("resource_type").alias("type"), F.col("resource_id").alias("id"), "relation"]
     direct = rels.join(subjects, names).select(*here)
     wild = rels.where("subject_id = '*' and subject_relation = ''").join(subjects.where("subject_relation = ''").select("k", "subject_type"), "subject_type").select(*here)
     own = subjects.where("subject_relation <> ''").select("k", F.col("subject_type").alias("type"), F.col("subject_id").alias("id"), F.col("subject_relation").alias("relation"))
-    first = (direct.unionByName(wild) if wildcards else direct).unionByName(own).distinct()
+    return (direct.unionByName(wild) if wildcards else direct).unionByName(own).distinct()
+
+
+def member_of(rels: DataFrame, closure: DataFrame, subjects: DataFrame, wildcards: bool = True) -> DataFrame:
+    """(k, type, id, relation): usersets that hold each subject, directly or nested.
+
+    Without `wildcards`, by name alone: where no wildcard can count, every subject would still be paired with all of them.
+    """
+    first = directly_in(rels, subjects, wildcards)
     links = closure.select(F.col("descendant_type").alias("type"), F.col("descendant_id").alias("id"), F.col("descendant_relation").alias("relation"), F.col("ancestor_type").alias("t"), F.col("ancestor_id").alias("i"), F.col("ancestor_relation").alias("r"))
     above = first.join(links, ["type", "id", "relation"]).select("k", F.col("t").alias("type"), F.col("i").alias("id"), F.col("r").alias("relation"))
     return first.unionByName(above).distinct()

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import checkpointed
-from ..plans.compile import Goal, arrow_targets, deps, static_relations
+from ..plans.compile import Goal, arrow_targets, counted_relations, deps, static_relations
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
-from .closure import member_of
+from .closure import directly_in, member_of
 from .resolve import union_all
 
 KEY = ["resource_type", "resource_id", "permission"]
@@ -108,6 +108,19 @@ def apply_sets(schema: Schema, rels_after: DataFrame, wanted: list[Goal], stored
 
 # queries on the sets
 
+USERSET = ["type", "id", "relation"]
+
+
+def _counted(schema: Schema, goal: Goal, rels: DataFrame) -> DataFrame:
+    """The tuples of the relations whose subjects can have the goal."""
+    return rels.where(reduce(lambda a, b: a | b, [(F.col("resource_type") == t) & (F.col("relation") == r) for t, r in counted_relations(schema, goal)], F.lit(False)))
+
+
+def _links(schema: Schema, goal: Goal, closure: DataFrame) -> DataFrame:
+    """The closure's rows that can matter for the goal: a userset (type, id, relation), and one within (t, i, r)."""
+    own = reduce(lambda a, b: a | b, [(F.col("ancestor_type") == t) & (F.col("ancestor_relation") == r) for t, r in counted_relations(schema, goal)], F.lit(False))
+    return closure.where(own).select(F.col("ancestor_type").alias("type"), F.col("ancestor_id").alias("id"), F.col("ancestor_relation").alias("relation"), F.col("descendant_type").alias("t"), F.col("descendant_id").alias("i"), F.col("descendant_relation").alias("r"))
+
 
 def granting(schema: Schema, sets: DataFrame, goal: Goal, resources: DataFrame) -> DataFrame:
     """(resource_id, type, id, relation): the usersets that grant the goal on each of `resources` (resource_id)."""
@@ -129,12 +142,18 @@ def resources_with_permission(schema: Schema, rels: DataFrame, closure: DataFram
 
 
 def has_permission(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, requests: DataFrame) -> DataFrame:
-    """requests (resource_id, k, subject columns) for one goal, with has_permission: who grants it on the asked resources, and whether the subject stands there."""
+    """requests (resource_id, k, subject columns) for one goal, with has_permission: who grants it on the asked resources, and whether the subject stands there.
+
+    The asked pairs go down from what grants the goal, since a subject can stand in far more than what it is asked about.
+    """
     subjects = requests.select("k", "subject_type", "subject_id", "subject_relation").distinct()
-    held = member_of(rels, closure, subjects, wildcards=False)
+    held = directly_in(_counted(schema, goal, rels), subjects, wildcards=False)
     pairs = requests.select("k", "resource_id").distinct()
     grants = granting(schema, sets, goal, requests.select("resource_id").distinct())
-    found = pairs.join(grants, "resource_id").join(held, ["k", "type", "id", "relation"], "left_semi").select("k", "resource_id")
+    asked = checkpointed(pairs.join(grants, "resource_id"))
+    direct = asked.join(held, ["k", *USERSET], "left_semi").select("k", "resource_id")
+    nested = asked.join(_links(schema, goal, closure), USERSET).select("k", "resource_id", F.col("t").alias("type"), F.col("i").alias("id"), F.col("r").alias("relation")).join(held, ["k", *USERSET], "left_semi").select("k", "resource_id")
+    found = direct.unionByName(nested)
     own = subjects.where((F.col("subject_type") == goal[0]) & (F.col("subject_relation") == goal[1])).select("k", F.col("subject_id").alias("resource_id"))
     yes = found.unionByName(own).distinct().withColumn("yes", F.lit(True))
     return requests.join(yes, ["k", "resource_id"], "left").withColumn("has_permission", F.coalesce("yes", F.lit(False))).drop("yes")

@@ -376,7 +376,7 @@ def permission_sets_recursive(spark, d):
 
 
 def _indexed(spark, d):
-    g = _graph(spark, d)
+    g = graph(spark, d)
     schema = graph_schema()
     return schema, g, C.closure_of(g), S.permission_sets(schema, g, SETS)
 

@@ -8,7 +8,7 @@ from oracle import Oracle
 from relgraph.errors import Cancelled, FormatVersion, InvalidArgument, MaxDepthExceeded, NestingTooLarge, PreconditionFailed, RelationshipExists, RelgraphError, SchemaMismatch
 from relgraph.index import Index
 from relgraph.model import CheckRequest, ObjectRef, Operation, Precondition, RelationshipFilter, SubjectRef, Update, parse_relationship
-from relgraph.operators import closure
+from relgraph.operators import closure, sets
 from relgraph.operators.resolve import SubjectBound
 from relgraph.plans.deadline import deadline
 from relgraph.schema import parse
@@ -161,6 +161,17 @@ def test_intersections_are_narrowed_by_their_named_operand(spark, tmp_path):
     assert ("shift", "head") not in bound.done and ("clinic", "director") in bound.done
 
 
+def test_checks_by_sets_go_down_from_what_is_asked(spark, tmp_path, monkeypatch):
+    """No subject's usersets are all listed, of which one that stands high has far more than are asked about."""
+    monkeypatch.setattr(sets, "member_of", None)
+    schema = parse(HOSPITAL)
+    rels = service(spark, tmp_path, HOSPITAL, TUPLES).store.snapshot().rels
+    asked = spark.createDataFrame([("day", "person:eli#", "person", "eli", ""), ("night", "person:ben#", "person", "ben", ""), ("night", "person:dot#", "person", "dot", ""), ("night", "shift:standby#on_duty", "shift", "standby", "on_duty")], "resource_id string, k string, subject_type string, subject_id string, subject_relation string")
+    stored = sets.permission_sets(schema, rels, [("shift", "reachable")])
+    found = sets.has_permission(schema, rels, closure.closure_of(rels), stored, ("shift", "reachable"), asked)
+    assert sorted(tuple(r) for r in found.select("k", "has_permission").collect()) == [("person:ben#", True), ("person:dot#", False), ("person:eli#", True), ("shift:standby#on_duty", True)]
+
+
 def test_nesting_budget(spark, tmp_path):
     s = service(spark, tmp_path, HOSPITAL, ["shift:a#on_duty@shift:b#on_duty", "shift:b#on_duty@shift:c#on_duty"], index="closure", nesting_budget=3)
     with pytest.raises(NestingTooLarge):
