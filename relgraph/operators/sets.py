@@ -15,6 +15,7 @@ from ..plans.checkpoint import checkpointed
 from ..plans.compile import Goal, arrow_targets, counted_relations, deps, static_relations
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
 from .closure import directly_in, member_of
+from .groups import Groups
 from .resolve import union_all
 
 KEY = ["resource_type", "resource_id", "permission"]
@@ -159,17 +160,27 @@ def has_permission(schema: Schema, rels: DataFrame, closure: DataFrame, sets: Da
     return requests.join(yes, ["k", "resource_id"], "left").withColumn("has_permission", F.coalesce("yes", F.lit(False))).drop("yes")
 
 
-def subjects_with_permission(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, resources: DataFrame, subject_type: str, subject_relation: str = "") -> DataFrame:
-    """(resource_id, subject_id): who has the permission, the granting usersets being looked through."""
+def _found(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, resources: DataFrame, subject_type: str, subject_relation: str, within: DataFrame | None = None) -> Groups:
+    """Resources (with `within` (resource_id, r), what they are part of) and their subjects, met in usersets."""
     grants = granting(schema, sets, goal, resources)
-    links = closure.select(F.col("ancestor_type").alias("type"), F.col("ancestor_id").alias("id"), F.col("ancestor_relation").alias("relation"), F.col("descendant_type").alias("t"), F.col("descendant_id").alias("i"), F.col("descendant_relation").alias("r"))
-    below = grants.join(links, ["type", "id", "relation"]).select("resource_id", F.col("t").alias("type"), F.col("i").alias("id"), F.col("r").alias("relation"))
+    below = grants.join(_links(schema, goal, closure), USERSET).select("resource_id", F.col("t").alias("type"), F.col("i").alias("id"), F.col("r").alias("relation"))
     all_sets = checkpointed(grants.unionByName(below).distinct())
-    tuples = rels.where((F.col("subject_type") == subject_type) & (F.col("subject_relation") == subject_relation)).select(F.col("resource_type").alias("type"), F.col("resource_id").alias("id"), "relation", "subject_id")
-    out = all_sets.join(tuples, ["type", "id", "relation"]).select("resource_id", "subject_id")
-    if subject_relation:
-        out = out.unionByName(all_sets.where((F.col("type") == subject_type) & (F.col("relation") == subject_relation)).select("resource_id", F.col("id").alias("subject_id")))
-    return out.distinct()
+    all_sets = all_sets.withColumn("r", F.col("resource_id")) if within is None else all_sets.join(within, "resource_id")
+    u = F.concat("type", F.lit(":"), "id", F.lit("#"), "relation").alias("u")
+    tuples = _counted(schema, goal, rels).where((F.col("subject_type") == subject_type) & (F.col("subject_relation") == subject_relation))
+    members = tuples.select(F.col("resource_type").alias("type"), F.col("resource_id").alias("id"), "relation", F.col("subject_id").alias("s")).select(u, "s").distinct()
+    own = all_sets.where((F.col("type") == subject_type) & (F.col("relation") == subject_relation)).select("r", F.col("id").alias("s")) if subject_relation else None
+    return Groups(all_sets.select("r", u), members, own)
+
+
+def subjects_with_permission(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, resources: DataFrame, subject_type: str, subject_relation: str = "") -> DataFrame:
+    """(resource_id, subject_id): who has the permission, the granting usersets being looked through."""
+    return _found(schema, rels, closure, sets, goal, resources, subject_type, subject_relation).pairs().select(F.col("r").alias("resource_id"), F.col("s").alias("subject_id"))
+
+
+def subject_counts(schema: Schema, rels: DataFrame, closure: DataFrame, sets: DataFrame, goal: Goal, within: DataFrame, subject_type: str, subject_relation: str = "") -> DataFrame:
+    """(r, n): the number of subjects that have the permission on any of the resources of r, for `within` (resource_id, r), without listing them."""
+    return _found(schema, rels, closure, sets, goal, within.select("resource_id").distinct(), subject_type, subject_relation, within.distinct()).counts()
 
 
 def drift(want: DataFrame, have: DataFrame) -> DataFrame:

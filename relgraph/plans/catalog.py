@@ -375,10 +375,10 @@ def permission_sets_recursive(spark, d):
     return S.permission_sets(graph_schema(), _graph(spark, d), [("purchase", "trace")])
 
 
-def _indexed(spark, d):
+def _indexed(spark, d, wanted=SETS):
     g = graph(spark, d)
     schema = graph_schema()
-    return schema, g, C.closure_of(g), S.permission_sets(schema, g, SETS)
+    return schema, g, C.closure_of(g), S.permission_sets(schema, g, wanted)
 
 
 _query(_SQL["lookup_resources_arrow"], "resources_with_permission")(lambda spark, d: S.resources_with_permission(*_indexed(spark, d), ("purchase", "handle"), _user(spark)).select("id"))
@@ -393,7 +393,7 @@ def has_permission_sets(spark, d):
 
 @_query(f"with recursive {G}, {_DEALS} select distinct org as resource_id, usr as subject_id from ov")
 def subjects_with_permission(spark, d):
-    schema, g, c, s = _indexed(spark, d)
+    schema, g, c, s = _indexed(spark, d, SETS[1:])
     resources = g.where("resource_type = 'supplier'").select("resource_id").distinct()
     return S.subjects_with_permission(schema, g, c, s, ("supplier", "dealings"), resources, "customer")
 
