@@ -401,9 +401,9 @@ def subjects_with_permission(spark, d):
 @_query(f"with recursive {G}, {_DEALS} select s_name, cast(count(distinct usr) as bigint) as viewers from supplier join ov on ov.org = 's' || s_suppkey group by s_name")
 def application_view(spark, d):
     """The sets as an application's view: suppliers with the number of customers that have dealings with them."""
-    found = subjects_with_permission(spark, d)
-    supplier = _table(spark, d, "supplier").select("s_name", F.concat(F.lit("s"), "s_suppkey").alias("resource_id"))
-    return supplier.join(found, "resource_id").groupBy("s_name").agg(F.count_distinct("subject_id").alias("viewers"))
+    supplier = _table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("resource_id"), F.struct("s_name").alias("r"))
+    counts = S.subject_counts(*_indexed(spark, d, SETS[1:]), SETS[1], supplier, "customer")
+    return counts.select("r.s_name", F.col("n").alias("viewers"))
 
 
 @_query(f"with recursive {G}, {_EDGES}, {_CLOSURE} select {_UNPACKED}, 'missing' as drift from c where a like 'supplier:s1#%' union all select 'area', 'x', 'resident', 'area', 'y', 'resident', 'extra'")
