@@ -56,7 +56,7 @@ def check_bulk(schema: Schema, rels: DataFrame, requests: DataFrame, max_depth:
 
 def lookup_resources(schema: Schema, rels: DataFrame, goal: Goal, subjects: DataFrame, max_depth: int = 50, closure: DataFrame | None = None) -> DataFrame:
     """(k, id) of the resources on which each subject (k, subject columns) has the permission."""
-    return SubjectBound(schema, rels, subjects, max_depth, closure).goal(goal)
+    return SubjectBound(schema, rels, subjects, max_depth, closure).lookup(goal)
 
 
 def lookup_subjects(schema: Schema, rels: DataFrame, resource: ObjectRef, name: str, subject_type: str, subject_relation: str = "", max_depth: int = 50, closure: DataFrame | None = None) -> DataFrame:

@@ -18,9 +18,12 @@ from ..errors import InvalidArgument, MaxDepthExceeded
 from ..plans.checkpoint import checkpointed
 from ..plans.compile import Goal, Stratum, arrow_targets, deps, expr_deps, strata
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
+from .groups import Groups
 
 #: Tables of rounds that are read as a union before they are written as one.
 MOST_PARTS = 12
+#: Seeds from which resources are grouped.
+MANY = 1000
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -81,6 +84,60 @@ class SubjectBound:
                 self._evaluate(stratum)
         return self.done[goal]
 
+    def lookup(self, goal: Goal) -> DataFrame:
+        """Like `goal`; what many seeds reach over tuples is expanded from classes of resources that lead to the same objects."""
+        found = self.goal(goal)
+        (top,) = [s for s in strata(self.schema, [goal]) if goal in s.goals]
+        if top.recursive:
+            return found
+        hops, plain = self._ways(goal)
+        if not hops or self.seeds.limit(MANY).count() < MANY:
+            return found
+        u = lambda target, id_: F.concat(F.lit(f"{'#'.join(target)}:"), id_).alias("u")
+        links = union_all([tuples.select(F.col("resource_id").alias("r"), u(t, F.col("subject_id"))) for tuples, t in hops])
+        members = checkpointed(union_all([self.done[t].select(u(t, F.col("id")), F.col("k").alias("s")) for t in dict.fromkeys(t for _, t in hops)]))
+        more = union_all([p.select(F.col("id").alias("r"), F.col("k").alias("s")) for p in plain])
+        return Groups(links, members, more).pairs().select(F.col("s").alias("k"), F.col("r").alias("id"))
+
+    def _ways(self, goal: Goal) -> tuple[list[tuple[DataFrame, Goal]], list[DataFrame]]:
+        """What unites to an evaluated goal outside of recursive strata: tuples with the goals that they lead to, and pairs (k, id)."""
+        hops: list[tuple[DataFrame, Goal]] = []
+        plain: list[DataFrame] = []
+
+        def over(tuples: DataFrame, t: Goal) -> None:
+            hops.append((tuples.where((F.col("subject_type") == t[0]) & (F.col("subject_id") != "*")), t))
+
+        def of(g: Goal) -> None:
+            if self.schema.relation(*g) is not None:
+                if any(s.recursive for s in strata(self.schema, [g]) if g in s.goals):
+                    plain.append(self.done[g])
+                    return
+                plain.append(self._base(g))
+                for w in self._walked(g):
+                    over(self._tuples(g).where(F.col("subject_relation") == w[1]), w)
+                return
+            e = self.schema.permission(*g).expr
+            if isinstance(e, SetOp) and e.op != "union":
+                plain.append(self.done[g])
+                return
+            plain.append(self._reflexive(g))
+            walk(g[0], e)
+
+        def walk(type_: str, e: Expr) -> None:
+            if isinstance(e, Ref):
+                of((type_, e.name))
+            elif isinstance(e, Arrow):
+                for t in arrow_targets(self.schema, type_, e):
+                    over(self._tuples((type_, e.relation)), (t, e.target))
+            elif isinstance(e, SetOp) and e.op == "union":
+                for c in e.children:
+                    walk(type_, c)
+            else:
+                plain.append(self._expr(type_, e, self.done, self.done))
+
+        of(goal)
+        return hops, plain
+
     def _named(self, type_: str, e: Expr) -> Expr | None:
         """The operand of an intersection that plain tuples answer, by which the others are narrowed."""
         plain = lambda c: isinstance(c, Ref) and (r := self.schema.relation(type_, c.name)) is not None and not any(s.relation or s.wildcard for s in r.subjects)

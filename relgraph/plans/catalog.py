@@ -305,7 +305,7 @@ def lookup_resources_intersection(spark, d):
 
 @_query(f"with recursive {G}, {_DEALS} select distinct usr as k, org as id from ov")
 def lookup_resources_all_users(spark, d):
-    return Q.lookup_resources(graph_schema(), _graph(spark, d), ("supplier", "dealings"), _customers(spark, d))
+    return Q.lookup_resources(graph_schema(), graph(spark, d), ("supplier", "dealings"), _customers(spark, d))
 
 
 @_query(f"with recursive {G}, {_EDGES}, {_CLOSURE}, {_HELD} select {_ID} as id from m where x like 'supplier:%#serves' union select resource_id from g where resource_type = 'supplier' and relation = 'agent' and subject_id = 'c1'")

@@ -2,9 +2,10 @@
 
 import random
 
-from relgraph.operators import groups, sets
+from relgraph.operators import groups, resolve, sets
 from relgraph.operators.closure import closure_of
 from relgraph.operators.groups import Groups
+from relgraph.operators.questions import lookup_resources
 from relgraph.schema import parse
 
 
@@ -33,3 +34,21 @@ def test_counts_over_parts(spark):
     stored = sets.permission_sets(schema, rels, [("desk", "use")])
     found = sets.subject_counts(schema, rels, closure_of(rels), stored, ("desk", "use"), within, "person")
     assert {(r["r"]["name"], r["n"]) for r in found.collect()} == {("n", 2), ("m", 2), (None, 2)}
+
+
+def test_lookups_for_many_seeds_are_grouped(spark, monkeypatch):
+    schema = parse("definition person {} definition team { relation member: person | team#member permission all = member } definition desk { relation open: team#member relation barred: person relation chief: person permission use = open + chief } definition room { relation desk: desk relation key: person permission enter = key + desk->use permission calm = (enter - key) + key }")
+    rng = random.Random(2)
+    tuples = {("team", f"t{rng.randrange(5)}", "member", "person", f"p{rng.randrange(12)}", "") for _ in range(12)} | {("team", "t0", "member", "team", "t1", "member"), ("team", "t1", "member", "team", "t0", "member")}
+    tuples |= {("desk", f"d{i}", "open", "team", f"t{i % 5}", "member") for i in range(20)} | {("desk", f"d{i}", "chief", "person", f"p{i % 12}", "") for i in range(20)}
+    tuples |= {("room", f"r{i}", "desk", "desk", f"d{j}", "") for i in range(8) for j in rng.sample(range(20), 2)} | {("room", f"r{i}", "key", "person", f"p{i}", "") for i in range(8)}
+    rels = spark.createDataFrame(sorted(tuples), "resource_type string, resource_id string, relation string, subject_type string, subject_id string, subject_relation string")
+    seeds = spark.createDataFrame([(f"p{i}", "person", f"p{i}", "") for i in range(12)] + [("t", "team", "t1", "member")], "k string, subject_type string, subject_id string, subject_relation string")
+    calls = []
+    monkeypatch.setattr(resolve, "Groups", lambda *a: calls.append(a) or Groups(*a))
+    for goal in (("desk", "use"), ("room", "enter"), ("room", "calm")):
+        monkeypatch.setattr(resolve, "MANY", 1000)
+        want = sorted(map(tuple, lookup_resources(schema, rels, goal, seeds).collect()))
+        monkeypatch.setattr(resolve, "MANY", 1)
+        assert want and sorted(map(tuple, lookup_resources(schema, rels, goal, seeds).collect())) == want
+    assert len(calls) == 2
