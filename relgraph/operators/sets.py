@@ -1,7 +1,7 @@
 """Permission sets: for a permission on a resource, the usersets of other objects that grant it.
 
 No wildcard counts: permissions that take one aren't materialised. Sets are reached through arrows; the resource's own relations are static and added when a question is asked.
-All rules are linear, so one table (type, permission, id, set) grows by joins with what the last round found.
+All rules are linear, so that one table (goal, id, set) grows by joins with paths over arrows, whose length doubles.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.checkpoint import checkpointed
+from ..plans.checkpoint import checkpointed, forget
 from ..plans.compile import Goal, arrow_targets, counted_relations, deps, static_relations
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
 from .closure import directly_in, member_of
 from .groups import Groups
 from .resolve import union_all
 
-KEY = ["resource_type", "resource_id", "permission"]
-SET = ["set_type", "set_id", "set_relation"]
+#: Paths for one step from which paths aren't doubled any more.
+MORE_PATHS = 4
 
 
 def _needed(schema: Schema, wanted: list[Goal]) -> list[Goal]:
@@ -45,41 +45,87 @@ def permission_sets(schema: Schema, rels: DataFrame, wanted: list[Goal], resourc
     """Rows (resource, permission, set) of the materialised permissions; `resources` (resource_type, resource_id) restricts them."""
     rels = rels.where("subject_id <> '*'")
     goals = _needed(schema, wanted)
-    none = rels.select("resource_type", "resource_id", F.col("relation").alias("permission"), F.col("subject_type").alias("set_type"), F.col("subject_id").alias("set_id"), F.col("relation").alias("set_relation")).where(F.lit(False))
-    base, refs, arrows = [none], [], []
-    for type_, name in goals:
-        for e in _parts(schema.permission(type_, name).expr):
-            if isinstance(e, Ref) and schema.permission(type_, e.name):
-                refs.append((type_, name, e.name))
-            elif isinstance(e, Arrow):
-                for t in arrow_targets(schema, type_, e):
-                    step = rels.where((F.col("resource_type") == type_) & (F.col("relation") == e.relation) & (F.col("subject_type") == t))
-                    for r in static_relations(schema, (t, e.target)):
-                        base.append(step.select("resource_type", "resource_id", F.lit(name).alias("permission"), F.col("subject_type").alias("set_type"), F.col("subject_id").alias("set_id"), F.lit(r).alias("set_relation")))
-                    if schema.permission(t, e.target):
-                        arrows.append((type_, name, e.relation, t, e.target))
-
-    def gained(delta: DataFrame) -> DataFrame:
-        out = [none]
-        for type_, name, ref in refs:
-            own = delta.where((F.col("resource_type") == type_) & (F.col("permission") == ref))
-            out.append(own.withColumn("permission", F.lit(name)))
-        for type_, name, relation, t, target in arrows:
-            to = delta.where((F.col("resource_type") == t) & (F.col("permission") == target)).select(F.col("resource_id").alias("subject_id"), *SET)
-            step = rels.where((F.col("resource_type") == type_) & (F.col("relation") == relation) & (F.col("subject_type") == t)).select("resource_type", "resource_id", "subject_id")
-            out.append(step.join(to, "subject_id").select("resource_type", "resource_id", F.lit(name).alias("permission"), *SET))
-        return union_all(out).select(*KEY, *SET)
-
-    delta = checkpointed(union_all(base).select(*KEY, *SET).distinct())
-    parts = [delta]
+    number = {g: i for i, g in enumerate(goals)}
+    kinds: list[tuple[str, tuple[str, ...]]] = []  # a set's type, and the relations of it that come together
+    base, steps = [], []
+    for g in goals:
+        for e in _flat(schema, g):
+            for t in arrow_targets(schema, g[0], e):
+                tuples = rels.where((F.col("resource_type") == g[0]) & (F.col("relation") == e.relation) & (F.col("subject_type") == t))
+                if static := tuple(static_relations(schema, (t, e.target))):
+                    if (t, static) not in kinds:
+                        kinds.append((t, static))
+                    base.append(tuples.select(F.lit(number[g]).alias("goal"), F.col("resource_id").alias("id"), F.lit(kinds.index((t, static))).alias("kind"), F.col("subject_id").alias("set_id")))
+                if schema.permission(t, e.target):
+                    steps.append(tuples.select(F.lit(number[g]).alias("goal"), F.col("resource_id").alias("id"), F.lit(number[t, e.target]).alias("to_goal"), F.col("subject_id").alias("to")))
+    none = rels.select(F.col("resource_type"), "resource_id", F.col("relation").alias("permission"), F.col("subject_type").alias("set_type"), F.col("subject_id").alias("set_id"), F.col("relation").alias("set_relation")).where(F.lit(False))
+    if not base:
+        return none
+    found = _reached(union_all(base).distinct(), union_all(steps).where("goal <> to_goal or id <> to").distinct() if steps else None)
+    of = lambda column, values: F.element_at(F.array(*map(F.lit, values)), F.col(column) + 1)
+    found = found.where(F.col("goal").isin([number[g] for g in wanted if g in number]))
+    relations = F.element_at(F.array(*[F.array(*map(F.lit, r)) for _, r in kinds]), F.col("kind") + 1)
+    out = found.select(of("goal", [t for t, _ in goals]).alias("resource_type"), F.col("id").alias("resource_id"), of("goal", [p for _, p in goals]).alias("permission"), of("kind", [t for t, _ in kinds]).alias("set_type"), "set_id", F.explode(relations).alias("set_relation"))
+    named = [(t, r) for t, static in kinds for r in static]
+    if len(set(named)) < len(named):
+        out = out.distinct()
+    return out if resources is None else out.join(resources, ["resource_type", "resource_id"], "left_semi")
+
+
+def _flat(schema: Schema, goal: Goal) -> list[Arrow]:
+    """The arrows of a permission and of those of the same object that it refers to."""
+    seen, todo, out = {goal}, [goal], []
+    while todo:
+        g = todo.pop()
+        for e in _parts(schema.permission(*g).expr):
+            if isinstance(e, Arrow):
+                out.append(e)
+            elif isinstance(e, Ref) and schema.permission(g[0], e.name) and (g[0], e.name) not in seen:
+                seen.add((g[0], e.name))
+                todo.append((g[0], e.name))
+    return list(dict.fromkeys(out))
+
+
+def _reached(base: DataFrame, steps: DataFrame | None) -> DataFrame:
+    """(goal, id, kind, set_id), distinct: `base` and what (goal, id) reach over `steps` (goal, id, to_goal, to).
+
+    By doubling: a step of round n is a path of 2^n of the first ones, so that few rounds shuffle what is known. Where
+    the paths become many more than the steps, it goes on with the steps themselves.
+    """
+    if steps is None:
+        return base
+    keys = ["goal", "id", "kind", "set_id"]
+    known, step = checkpointed(base), checkpointed(steps)
+    first, most, count = step, MORE_PATHS * max(step.count(), 1), known.count()
+
+    def over(paths: DataFrame, rows: DataFrame) -> DataFrame:
+        to = rows.withColumnRenamed("goal", "to_goal").withColumnRenamed("id", "to")
+        return paths.join(to, ["to_goal", "to"]).select(*keys)
+
+    while True:
+        paths = step.join(step.select(F.col("goal").alias("to_goal"), F.col("id").alias("to"), F.col("to_goal").alias("g"), F.col("to").alias("i")), ["to_goal", "to"])
+        longer = checkpointed(paths.select("goal", "id", F.col("g").alias("to_goal"), F.col("i").alias("to")).distinct())
+        n = longer.count()
+        both = known.unionByName(over(step, known)).distinct()
+        if not n:
+            return both
+        before, known = known, checkpointed(both)
+        forget(before)
+        if (now := known.count()) == count:
+            return known
+        count = now
+        if n > most:
+            break
+        if step is not first:
+            forget(step)
+        step = longer
+    delta, parts = known, [known]
     while not delta.isEmpty():
-        delta = checkpointed(gained(delta).distinct().join(union_all(parts), [*KEY, *SET], "left_anti"))
+        delta = checkpointed(over(first, delta).distinct().join(union_all(parts), keys, "left_anti"))
         parts.append(delta)
         if len(parts) > 12:
             parts = [checkpointed(union_all(parts))]
-    chosen = reduce(lambda a, b: a | b, [(F.col("resource_type") == t) & (F.col("permission") == p) for t, p in wanted], F.lit(False))
-    out = union_all(parts).where(chosen)
-    return out if resources is None else out.join(resources, ["resource_type", "resource_id"], "left_semi")
+    return union_all(parts)
 
 
 def affected_resources(schema: Schema, rels: DataFrame, wanted: list[Goal], changed: DataFrame) -> DataFrame:

@@ -372,7 +372,7 @@ def permission_sets(spark, d):
     "select distinct 'purchase' as resource_type, up.f as resource_id, 'trace' as permission, 'supplier' as set_type, g.subject_id as set_id, r.r as set_relation from up join g on g.resource_type = 'purchase' and g.relation = 'source' and g.resource_id = up.p cross join (select unnest(['serves', 'agent']) as r) r"
 )
 def permission_sets_recursive(spark, d):
-    return S.permission_sets(graph_schema(), _graph(spark, d), [("purchase", "trace")])
+    return S.permission_sets(graph_schema(), graph(spark, d), [("purchase", "trace")])
 
 
 def _indexed(spark, d, wanted=SETS):

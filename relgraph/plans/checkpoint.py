@@ -32,6 +32,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more; another table is left alone."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or not plan.rdd().getCheckpointFile().isDefined():
+        return
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """`df` with its rows' places in order of `keys`, from 0, as column `name`; no task sees more than its range of them."""
     rows = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()))

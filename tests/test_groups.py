@@ -52,3 +52,22 @@ def test_lookups_for_many_seeds_are_grouped(spark, monkeypatch):
         monkeypatch.setattr(resolve, "MANY", 1)
         assert want and sorted(map(tuple, lookup_resources(schema, rels, goal, seeds).collect())) == want
     assert len(calls) == 2
+
+
+def test_sets_over_long_chains_and_cycles(spark, monkeypatch):
+    """Paths are doubled: a chain of 40 takes few rounds; where paths multiply, the steps themselves go on."""
+    schema = parse("definition person {} definition team { relation member: person relation head: person permission led = member + head } definition part { relation of: part relation by: team permission use = see permission see = by->led + of->see }")
+    chain = [("part", f"p{i}", "of", "part", f"p{i + 1}", "") for i in range(40)] + [("part", "p40", "by", "team", "last", ""), ("part", "p7", "by", "team", "mid", "")]
+    cycle = [("part", f"c{i}", "of", "part", f"c{(i + j) % 9}", "") for i in range(9) for j in (1, 2, 3)] + [("part", "c4", "by", "team", "ring", "")]
+    rels = spark.createDataFrame(chain + cycle, "resource_type string, resource_id string, relation string, subject_type string, subject_id string, subject_relation string")
+    want = {(f"p{i}", "last") for i in range(41)} | {(f"p{i}", "mid") for i in range(8)} | {(f"c{i}", "ring") for i in range(9)}
+    want = sorted((r, p, s, x) for r, s in want for p in ("see", "use") for x in ("member", "head"))
+    for paths in (0, 4, 1000):
+        monkeypatch.setattr(sets, "MORE_PATHS", paths)
+        rounds = []
+        real = sets.checkpointed
+        with monkeypatch.context() as m:
+            m.setattr(sets, "checkpointed", lambda df, real=real, rounds=rounds: rounds.append(1) or real(df))
+            found = sets.permission_sets(schema, rels, [("part", "use"), ("part", "see")])
+            assert sorted(tuple(r) for r in found.select("resource_id", "permission", "set_id", "set_relation").collect()) == want
+        assert paths < 1000 or len(rounds) < 20
