@@ -16,7 +16,7 @@ from ..errors import MaxDepthExceeded
 from ..plans.checkpoint import checkpointed
 from ..plans.compile import Goal, Stratum, arrow_targets, strata
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
-from .resolve import MOST_PARTS, SubjectBound, union_all
+from .resolve import MOST_PARTS, SubjectBound, merged, union_all
 
 PAIR = ["k", "id"]
 
@@ -43,6 +43,12 @@ class PairBound(SubjectBound):
             self.memo[goal] = checkpointed(asked.unionByName(new)), held
         return held.join(pairs, PAIR, "left_semi")
 
+    def _held_among(self, goal: Goal, pairs: DataFrame) -> DataFrame:
+        """Like `holds`; a relation that its own tuples answer is looked up without a table of what was asked."""
+        if goal in self.memo or self.schema.relation(*goal) is None or not self.closed(goal) and self._walked(goal):
+            return self.holds(goal, pairs)
+        return checkpointed(self._said(goal, pairs).distinct())
+
     def _evaluated(self, goal: Goal, pairs: DataFrame) -> DataFrame:
         s = next(s for s in strata(self.schema, [goal]) if goal in s.goals)
         if s.recursive and not self.closed(goal):
@@ -162,7 +168,7 @@ class PairBound(SubjectBound):
             frontier = checkpointed(new.join(union_all(parts), ["goal", *PAIR], "left_anti"))
             parts.append(frontier)
             if len(parts) > MOST_PARTS:
-                parts = [checkpointed(union_all(parts))]
+                parts = merged(parts[:-1]) + parts[-1:]
         demand = union_all(parts)
         known = {g: at(demand, g) for g in s.goals}
         # what the stratum asks of goals below it, evaluated for the pairs that it asks about
@@ -171,7 +177,7 @@ class PairBound(SubjectBound):
             for g, to in self._leads(own, known[own]):
                 if g not in number:
                     below.setdefault(g, []).append(to)
-        held = {g: self.holds(g, union_all(asked)) for g, asked in below.items()}
+        held = {g: self._held_among(g, union_all(asked)) for g, asked in below.items()}
         demand_before, done_before = self.demand, self.done
         self.demand, self.done = known, held
         try:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument, MaxDepthExceeded
-from ..plans.checkpoint import checkpointed
+from ..plans.checkpoint import checkpointed, forget
 from ..plans.compile import Goal, Stratum, arrow_targets, deps, expr_deps, strata
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
 from .groups import Groups
@@ -30,6 +30,14 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def merged(parts: list[DataFrame]) -> list[DataFrame]:
+    """Checkpoints of rounds as one, their own files deleted."""
+    out = checkpointed(union_all(parts))
+    for p in parts:
+        forget(p)
+    return [out]
+
+
 class SubjectBound:
     """seeds: (k, subject_type, subject_id, subject_relation); a goal's result: (k, id), distinct."""
 
@@ -211,7 +219,7 @@ class SubjectBound:
             delta = checkpointed(new.join(known, ["goal", "k", "id"], "left_anti"))
             parts.append(delta)
             if len(parts) > MOST_PARTS:
-                parts = [checkpointed(union_all(parts))]
+                parts = merged(parts[:-1]) + parts[-1:]
         return of(union_all(parts))
 
     def _asked(self, goal: Goal, found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from relgraph.operators import groups, resolve, sets
 from relgraph.operators.closure import closure_of
 from relgraph.operators.groups import Groups
+from relgraph.operators.pairs import PairBound
 from relgraph.operators.questions import lookup_resources
 from relgraph.schema import parse
 
@@ -71,3 +72,18 @@ def test_sets_over_long_chains_and_cycles(spark, monkeypatch):
             found = sets.permission_sets(schema, rels, [("part", "use"), ("part", "see")])
             assert sorted(tuple(r) for r in found.select("resource_id", "permission", "set_id", "set_relation").collect()) == want
         assert paths < 1000 or len(rounds) < 20
+
+
+def test_demand_leaves_no_superseded_tables(spark, monkeypatch):
+    """A recursive check down a chain longer than MOST_PARTS: right answers, merged rounds deleted, and no table of what plain relations were asked."""
+    schema = parse("definition person {} definition doc { relation up: doc relation reader: person relation barred: person permission read = (reader + up->read) - barred }")
+    tuples = [("doc", f"d{i}", "up", "doc", f"d{i + 1}", "") for i in range(20)] + [("doc", "d20", "reader", "person", "p", ""), ("doc", "d20", "reader", "person", "q", ""), ("doc", "d9", "barred", "person", "q", "")]
+    rels = spark.createDataFrame(tuples, "resource_type string, resource_id string, relation string, subject_type string, subject_id string, subject_relation string")
+    gone = []
+    real = resolve.forget
+    monkeypatch.setattr(resolve, "forget", lambda df: gone.append(1) or real(df))
+    seeds = spark.createDataFrame([(x, "person", x, "") for x in "pqz"], "k string, subject_type string, subject_id string, subject_relation string")
+    bound = PairBound(schema, rels, seeds)
+    held = bound.holds(("doc", "read"), spark.createDataFrame([(k, d) for k in "pqz" for d in ("d0", "d9", "d12")], "k string, id string"))
+    assert sorted(map(tuple, held.collect())) == [("p", "d0"), ("p", "d12"), ("p", "d9"), ("q", "d12")]
+    assert gone and ("doc", "reader") not in bound.memo and ("doc", "barred") not in bound.memo
