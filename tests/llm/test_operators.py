@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -395,6 +396,87 @@ def test_html_does_not_depend_on_partitions(spark, monkeypatch):
         same([tuple(r) for r in html.extract(frame.repartition(n)).collect()], whole)
 
 
+def main_texts(pages):
+    """Every page's main text by the definition: partners are sought over the whole host, each page against each."""
+
+    @lru_cache(maxsize=None)
+    def copy(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + len(x) if x == y else 0)
+        return best[-1][-1] >= 0.8 * max(len("".join(a)), len("".join(b)))
+
+    out, hosts = {}, defaultdict(list)
+    for page_id, url, source in pages:
+        host, path = url[7:].split("/", 1)
+        hosts[host].append(("/" + path, page_id, [(text, article) for text, named, article in html.lines_of(source) if not named]))
+    for host in hosts.values():
+        host.sort()
+        texts = [tuple(text for text, _ in own) for *_, own in host]
+
+        def seek(side, at, avoid, texts=texts):
+            return next((j for j in range(at + side, len(texts) if side > 0 else -1, side) if not any(copy(x, texts[j]) for x in avoid)), None)
+
+        for i, (path, page_id, own) in enumerate(host):
+            ends = {side: j for side in (-1, 1) if (j := seek(side, i, [texts[i]])) is not None}
+            chosen = []
+            for side in sorted(ends, key=lambda side: -html.near(host[ends[side]][0], path)):
+                if chosen and copy(chosen[0], texts[ends[side]]):
+                    ends[side] = seek(side, ends[side], [texts[i], *chosen])
+                chosen += [texts[ends[side]]] if ends[side] is not None else []
+            for side in (-1, 1):
+                further = seek(side, ends[side], [texts[i], *chosen]) if ends.get(side) is not None else None
+                chosen += [texts[further]] if further is not None else []
+            shared = [html.common_lines(texts[i], x) for x in chosen]
+            inside = set.intersection(*shared) if len(shared) > 1 else set()
+            out[page_id] = "\n\n".join(text for k, (text, article) in enumerate(own) if k not in (inside if article else set().union(*shared[:1])))
+    return out
+
+
+def test_html_partners_beyond_blocks_and_copies(spark, monkeypatch):
+    rng = random.Random(21)
+    menu, notice = "".join(f"<div>menu block {i}</div>" for i in range(3)), "<p>a notice on every page</p>"
+    fresh = lambda n: [f"{rng.random()} is a line of the page's own" for _ in range(n)]
+    page = lambda own: f"{menu}<article>{notice}{''.join(f'<p>{x}</p>' for x in own)}</article>"
+    texts = defaultdict(list)
+    one, two, base, drift, few = fresh(3), fresh(4), fresh(30), fresh(140), fresh(12)
+    for host in ("copies", "near", "pair", "drift"):
+        texts[host] += [fresh(3), fresh(4)]
+    texts["copies"] += [one] * 70
+    texts["near"] += [[*base[:k], *fresh(2), *base[k:]] for k in (rng.randint(0, 30) for _ in range(70))]
+    texts["pair"] += [one, two] * 35
+    texts["drift"] += [drift[i : i + 20] for i in range(70)]
+    for host in ("copies", "near", "pair", "drift"):
+        texts[host] += [fresh(3), fresh(4)]
+    texts["only"] = [one] * 40
+    texts["chance"] = [[x for x in few if rng.random() < 0.85] for _ in range(80)]
+    data = [(len(texts) * i + k, f"http://{host}/{i:03}", page(own)) for k, host in enumerate(texts) for i, own in enumerate(texts[host])]
+    expected = main_texts(data)
+    frame = spark.createDataFrame(data, "page_id long, url string, html string")
+    for block, edge in ((12, 4), (50, 8), (2048, 32)):
+        monkeypatch.setattr(html, "BLOCK", block)
+        monkeypatch.setattr(html, "EDGE", edge)
+        assert {r["page_id"]: r["text"] for r in html.extract(frame.repartition(5)).collect()} == expected
+    # what it is for: no copy keeps the menu, and, where there are other pages, none keeps the notice
+    by_host = {host: [expected[len(texts) * i + k] for i in range(len(texts[host]))] for k, host in enumerate(texts)}
+    assert not any("menu" in x or "notice" in x for host in ("copies", "near", "pair", "drift") for x in by_host[host])
+    assert all("menu" in x for x in by_host["only"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
+def test_html_copies_share_the_heaviest_subsequence(a, b):
+    lengths = {"a": 9, "b": 2, "c": 4}
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + lengths[x] if x == y else 0)
+    one, two = (html.text_of([(x * lengths[x], False, False) for x in text]) for text in (a, b))
+    assert html.heaviest(one, two) == best[-1][-1]
+    assert html.copies(one, two) == html.copies(two, one) == (best[-1][-1] >= 0.8 * max(one.total, two.total))
+
+
 def test_html_markup_that_is_not_well_formed():
     text = lambda page: [x for x, named, _ in html.lines_of(page) if not named]
     assert text('<article><p title="5" tall">one</p><p a=\'x>y\' b="<p>">two<p c=>three</ ><p>a < b</article>') == ["one", "two", "three", "a < b"]
