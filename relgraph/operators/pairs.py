@@ -4,21 +4,28 @@ Every step asks only about the pairs that are still open: a union drops what an
 intersection goes on with what all operands so far hold on, an exclusion asks its right side about what the left
 one admits, and usersets and arrows turn pairs into pairs on the objects that tuples lead to. Wildcards stay
 symbolic: a pair is looked up among the objects that are open to its subject's type. In a recursive stratum the
-pairs that can matter are collected first, and the fixpoint runs over these alone.
+pairs that can matter are collected first, and the fixpoint runs over these alone. Where many subjects are asked about,
+what objects grant to subjects that they don't name is found once an object (`objects`), and only pairs whose subject may
+be named on the way are collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MaxDepthExceeded
 from ..plans.checkpoint import checkpointed
 from ..plans.compile import Goal, Stratum, arrow_targets, strata
 from ..schema.build import Arrow, Expr, Ref, Schema, SetOp
+from .objects import MASK, NODE, Granted, Leaves, bits, small
 from .resolve import MOST_PARTS, SubjectBound, merged, union_all
 
 PAIR = ["k", "id"]
+#: Subjects from which a recursive stratum is evaluated by objects, if it leads over no more tuples than so many a pair.
+MANY_SUBJECTS, TUPLES_A_PAIR = 1000, 10
 
 
 class PairBound(SubjectBound):
@@ -153,34 +160,100 @@ class PairBound(SubjectBound):
         return pairs.join(to, "id").select("k", F.col("to").alias("id"))
 
     def _fixpoint(self, s: Stratum, goal: Goal, pairs: DataFrame) -> DataFrame:
+        leaves = Leaves(self.schema, s, self._tuples) if self.closure is None else None
+        if leaves is None or not leaves.possible or pairs.limit(MANY_SUBJECTS).count() < MANY_SUBJECTS:
+            return self._collected(s, goal, pairs)
+        n, subjects = pairs.agg(F.count("*"), F.approx_count_distinct("k")).first()
+        if subjects < MANY_SUBJECTS or (total := leaves.edges().count()) > n * TUPLES_A_PAIR:
+            return self._collected(s, goal, pairs)
+        return self._by_objects(s, goal, pairs, leaves, total)
+
+    def _by_objects(self, s: Stratum, goal: Goal, pairs: DataFrame, leaves: Leaves, total: int) -> DataFrame:
+        seeds = checkpointed(self.seeds)
+        first = None
+        sure, open_ = [], [pairs.join(seeds.where("subject_relation <> ''").select("k"), "k", "left_semi")]
+        for (t,) in seeds.where("subject_relation = ''").select("subject_type").distinct().collect():
+            granted = Granted(leaves, t, self.max_depth // len(s.goals), total)
+            at = lambda df: df.where(F.col("goal") == leaves.number[goal])
+            asked = pairs.join(seeds.where((F.col("subject_relation") == "") & (F.col("subject_type") == t)).select("k", "subject_id"), "k")
+            named = reduce(Column.__and__, [F.col(m).bitwiseAND(b) != 0 for m, b in zip(MASK, bits("subject_id"), strict=True)])
+            met = checkpointed(asked.join(at(granted.found).select("id", "holds", *MASK), "id").select(*PAIR, named.alias("named"), "holds").where("named or holds"))
+            sure.append(met.where("not named").select(*PAIR))
+            open_.append(met.where("named").select(*PAIR))
+            first = (granted.first, granted.n_first) if granted.first is not None else first
+            if granted.left is not None:
+                open_.append(checkpointed(asked.join(at(granted.left), "id", "left_semi").select(*PAIR)))
+            granted.forget()
+        rest = checkpointed(union_all(open_))
+        if rest.isEmpty():
+            return union_all(sure)
+        named = checkpointed(seeds.join(rest.select("k").distinct(), "k", "left_semi"))
+        seeds_before, self.seeds = self.seeds, named
+        try:
+            return union_all([*sure, self._collected(s, goal, rest, plain=True, first=first)])
+        finally:
+            self.seeds = seeds_before
+
+    def _tuples_of(self, ids: DataFrame, n: int) -> DataFrame:
+        """The tuples of `n` objects' ids."""
+        return self.rels.join(small(ids.withColumnRenamed("id", "resource_id"), n), "resource_id", "left_semi").select(*self.rels.columns)
+
+    def _walks(self, s: Stratum) -> Column:
+        """Tuples that lead from the objects of a stratum's goals."""
+        named = {g for g in s.goals if self.schema.relation(*g) is not None}
+
+        def arrows(type_: str, e: Expr) -> None:
+            if isinstance(e, Arrow):
+                named.add((type_, e.relation))
+            for c in e.children if isinstance(e, SetOp) else ():
+                arrows(type_, c)
+
+        for g in s.goals:
+            if g not in named:
+                arrows(g[0], self.schema.permission(*g).expr)
+        return reduce(Column.__or__, [(F.col("resource_type") == t) & (F.col("relation") == r) for t, r in sorted(named)])
+
+    def _collected(self, s: Stratum, goal: Goal, pairs: DataFrame, plain: bool = False, first: tuple[DataFrame, int] | None = None) -> DataFrame:
+        """By the pairs that can matter.
+
+        plain: below the stratum are relations without usersets alone, so that only the tuples of these pairs' objects are read.
+        first: (goal, id) of so many objects that lead only to each other; pairs on these alone go on over their tuples.
+        """
         number = {g: i for i, g in enumerate(s.goals)}
         at = lambda df, g: df.where(F.col("goal") == number[g]).select(*PAIR)
         frontier = checkpointed(pairs.select(F.lit(number[goal]).alias("goal"), *PAIR))
         parts, rounds = [frontier], 0
-        while not frontier.isEmpty():
-            rounds += 1
-            if rounds > len(s.goals) * self.max_depth:
-                raise MaxDepthExceeded(f"no end after {rounds} rounds")
-            led = [(g, to) for own in s.goals for g, to in self._leads(own, at(frontier, own)) if g in number]
-            if not led:
-                break
-            new = union_all([to.select(F.lit(number[g]).alias("goal"), *PAIR) for g, to in led]).distinct()
-            frontier = checkpointed(new.join(union_all(parts), ["goal", *PAIR], "left_anti"))
-            parts.append(frontier)
-            if len(parts) > MOST_PARTS:
-                parts = merged(parts[:-1]) + parts[-1:]
-        demand = union_all(parts)
-        known = {g: at(demand, g) for g in s.goals}
-        # what the stratum asks of goals below it, evaluated for the pairs that it asks about
-        below: dict[Goal, list[DataFrame]] = {}
-        for own in s.goals:
-            for g, to in self._leads(own, known[own]):
-                if g not in number:
-                    below.setdefault(g, []).append(to)
-        held = {g: self._held_among(g, union_all(asked)) for g, asked in below.items()}
-        demand_before, done_before = self.demand, self.done
-        self.demand, self.done = known, held
+        before = self.rels, self.demand, self.done
         try:
+            while n := frontier.count():
+                rounds += 1
+                if rounds > len(s.goals) * self.max_depth:
+                    raise MaxDepthExceeded(f"no end after {rounds} rounds")
+                if first is not None and frontier.join(small(*first), NODE, "left_anti").isEmpty():
+                    among = self._tuples_of(first[0].select("id").distinct(), first[1])
+                    self.rels, first = checkpointed(among.where(self._walks(s))), None
+                led = [(g, to) for own in s.goals for g, to in self._leads(own, small(at(frontier, own), n)) if g in number]
+                if not led:
+                    break
+                new = union_all([to.select(F.lit(number[g]).alias("goal"), *PAIR) for g, to in led]).distinct()
+                frontier = checkpointed(new.join(union_all(parts), ["goal", *PAIR], "left_anti"))
+                parts.append(frontier)
+                if len(parts) > MOST_PARTS:
+                    parts = merged(parts[:-1]) + parts[-1:]
+            self.rels = before[0]
+            demand = checkpointed(union_all(parts).repartition("id")) if plain else union_all(parts)
+            known = {g: at(demand, g) for g in s.goals}
+            # what the stratum asks of goals below it, evaluated for the pairs that it asks about
+            below: dict[Goal, list[DataFrame]] = {}
+            for own in s.goals:
+                for g, to in self._leads(own, known[own]):
+                    if g not in number:
+                        below.setdefault(g, []).append(to)
+            if plain:
+                ids = checkpointed(union_all([demand.select("id"), *[a.select("id") for asked in below.values() for a in asked]]).distinct())
+                self.rels = checkpointed(self._tuples_of(ids, ids.count()))
+            held = {g: self._held_among(g, union_all(asked)) for g, asked in below.items()}
+            self.demand, self.done = known, held
             if s.negative:
                 self._evaluate(s)
                 found = self.done[goal]
@@ -188,4 +261,4 @@ class PairBound(SubjectBound):
                 found = self._least(s, self.done)[goal]
             return checkpointed(found.join(pairs, PAIR, "left_semi").distinct())
         finally:
-            self.demand, self.done = demand_before, done_before
+            self.rels, self.demand, self.done = before

@@ -40,7 +40,8 @@ def check_bulk(schema: Schema, rels: DataFrame, requests: DataFrame, max_depth:
     out = requests.withColumn("k", key())
     found = []
     if goals:
-        pairs = checkpointed(out.where(known).select("resource_type", "permission", "k", F.col("resource_id").alias("id")).distinct())
+        pairs = out.where(known).select("resource_type", "permission", "k", F.col("resource_id").alias("id"))
+        pairs = checkpointed(pairs.distinct()) if len(goals) > 1 else pairs
         bound = PairBound(schema, rels, seeds_of(requests.where(known)), max_depth, closure)
         for g in goals:
             held = bound.holds(g, pairs.where((F.col("resource_type") == g[0]) & (F.col("permission") == g[1])))

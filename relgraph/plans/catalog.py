@@ -250,7 +250,8 @@ _SEEN = (
 @_query(f"with recursive {G}, {_SEEN} select q0.*, exists (select 1 from yes where yes.resource_id = q0.resource_id and yes.subject_id = q0.subject_id) as has_permission from q0")
 def check_bulk_recursive(spark, d):
     """See, through any number of prior purchases on none of which the customer is refused."""
-    return _checked(spark, d, _purchases(spark, d, "see", F.col("o_orderkey") % _table(spark, d, "customer").count()))
+    asked = _purchases(spark, d, "see", F.col("o_orderkey") % _table(spark, d, "customer").count())
+    return Q.check_bulk(graph_schema(), graph(spark, d), asked).select("resource_id", "subject_id", "has_permission")
 
 
 @_query(f"with {G} select 'o' || o_orderkey as resource_id, 'czed' as subject_id, exists (select 1 from g where g.resource_type = 'purchase' and g.relation = 'open' and g.resource_id = 'o' || o_orderkey) as has_permission from orders")
